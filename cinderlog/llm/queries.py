@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinderlog.llm import mixing, packing, url_filter
+from cinderlog.llm import fertility, langid, mixing, packing, quality, url_filter
 from cinderlog.llm.stages import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,5 +24,18 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_url_filter)}
+def op4_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fertility.judge(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", *fertility.METRICS)
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_url_filter, op4_tokeniser_fertility, op5_quality_classifier, op6_language_id)}
 SQL: dict[str, str] = {"op1_mix_sources": mixing.SQL, "op3_url_filter": url_filter.SQL}
