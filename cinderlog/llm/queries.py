@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinderlog.llm import ann, fertility, langid, mixing, packing, quality, secrets, url_filter
+from cinderlog.llm import ann, bagminhash, fertility, langid, mixing, packing, quality, secrets, url_filter
 from cinderlog.llm.stages import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -45,5 +49,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_url_filter, op4_tokeniser_fertility, op5_quality_classifier, op6_language_id, op9_nearest_vectors, op10_secret_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_url_filter, op4_tokeniser_fertility, op5_quality_classifier, op6_language_id, op8_near_duplicates, op9_nearest_vectors, op10_secret_scan)}
 SQL: dict[str, str] = {"op1_mix_sources": mixing.SQL, "op3_url_filter": url_filter.SQL}
