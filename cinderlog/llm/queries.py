@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cinderlog.llm import ann, bagminhash, fertility, langid, mixing, packing, quality, secrets, url_filter
+from cinderlog.llm import ann, bagminhash, fertility, langid, mixing, packing, quality, recompress, secrets, url_filter
 from cinderlog.llm.stages import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +38,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = recompress.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,5 +55,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_url_filter, op4_tokeniser_fertility, op5_quality_classifier, op6_language_id, op8_near_duplicates, op9_nearest_vectors, op10_secret_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_url_filter, op4_tokeniser_fertility, op5_quality_classifier, op6_language_id, op7_substring_dedup, op8_near_duplicates, op9_nearest_vectors, op10_secret_scan)}
 SQL: dict[str, str] = {"op1_mix_sources": mixing.SQL, "op3_url_filter": url_filter.SQL}
