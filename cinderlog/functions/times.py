@@ -17,7 +17,10 @@ _ZONE = r"([+-]\d{2}):?(\d{2})\z"
 
 def read_timestamp(text: Column) -> Column:
     """The shape YYYY-MM-DD, T or a space, HH:MM:SS, an optional fraction and zone, read as UTC; null for all else. Digits past the sixth are dropped, a leap second reads as :59."""
-    t = F.trim(text)
+    return F.transform(F.array(F.trim(text)), _read)[0]
+
+
+def _read(t: Column) -> Column:
     rest = F.substring(t, 20, 100)
     fraction = F.rpad(F.substring(F.regexp_extract(rest, r"\A[.,](\d+)", 1), 1, 6), 6, "0")
     head = F.concat(F.substring(t, 1, 10), F.lit(" "), F.substring(t, 12, 6), F.when(F.substring(t, 18, 2) == "60", "59").otherwise(F.substring(t, 18, 2)), F.lit("."), fraction)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinderlog.schema import as_entries
@@ -40,9 +40,11 @@ def orders_as_spans(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         F.when(F.col("o_orderstatus") == "F", "ERROR").otherwise("INFO").alias("level"), F.concat(F.lit("order "), "o_orderpriority").alias("message"),
         F.concat(F.lit("c-"), "o_custkey").alias("trace_id"), F.concat(F.lit("o-"), "o_orderkey").alias("span_id"), F.lit(None).cast("string").alias("parent_span_id"), F.lit("orders").alias("service_name"),
     )
-    items = lineitem.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    # several rows have one line number: the place among them makes (file, line_number) unique
+    twins = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*lineitem.columns)
+    items = lineitem.withColumn("_twin", F.row_number().over(twins)).join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     i = items.select(
-        F.lit("lineitem").alias("file"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_number"), F.col("l_shipdate").cast("timestamp_ntz").alias("timestamp"),
+        F.lit("lineitem").alias("file"), (F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + F.col("_twin")).alias("line_number"), F.col("l_shipdate").cast("timestamp_ntz").alias("timestamp"),
         F.when(F.col("l_returnflag") == "R", "ERROR").otherwise("INFO").alias("level"), F.concat(F.lit("item "), "l_linestatus").alias("message"),
         F.concat(F.lit("c-"), "o_custkey").alias("trace_id"), F.concat(F.lit("l-"), "l_orderkey", F.lit("-"), "l_linenumber").alias("span_id"), F.concat(F.lit("o-"), "l_orderkey").alias("parent_span_id"), F.lit("lineitem").alias("service_name"),
     )

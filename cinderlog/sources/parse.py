@@ -93,8 +93,15 @@ def _number(value: Column) -> Column:
     return F.when(value.rlike(r"\A-?\d"), value)
 
 
-def _first(*options: Column) -> Column:
-    return F.coalesce(*options)
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once: a lambda keeps long expressions from being written out at every use."""
+    return F.transform(F.array(value), use)[0]
+
+
+def first_of(texts: dict[str, Column], read) -> Column:
+    """Struct (k, v) of the first key whose text ``read`` gives a value for, else null."""
+    each = F.array(*[F.struct(F.lit(k).alias("k"), t.alias("t")) for k, t in texts.items()])
+    return F.try_element_at(F.filter(F.transform(each, lambda x: F.struct(x["k"].alias("k"), read(x["t"]).alias("v"))), lambda y: y["v"].isNotNull()), F.lit(1))
 
 
 def _fields_left(fields: Column, taken: list[Column]) -> Column:
@@ -102,14 +109,6 @@ def _fields_left(fields: Column, taken: list[Column]) -> Column:
     return F.map_filter(fields, lambda k, _: ~F.array_contains(gone, k))
 
 
-def _taken(keys: tuple[str, ...], reads: list[Column]) -> Column:
-    """The key whose value was read, if one was."""
-    out = F.lit(None).cast("string")
-    for key, read in reversed(list(zip(keys, reads, strict=True))):
-        out = F.when(read.isNotNull(), key).otherwise(out)
-    return out
-
-
 def json_object(raw: Column) -> Column:
     """The map of a line that is one JSON object and nothing else (the last of equal keys), else null."""
     t = F.trim(raw)
@@ -124,22 +123,18 @@ def _sorted_object(obj: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(F.transform(names, lambda k: F.concat(json_text(k), F.lit(":"), obj[k])), ","), F.lit("}"))
 
 
-def _json(df: DataFrame) -> dict[str, Column]:
+def _json() -> dict[str, Column]:
     obj = F.col("_json")
-    at = lambda key: F.try_element_at(obj, F.lit(key))
-    stamps = [F.coalesce(read_timestamp(json_string(at(k))), epoch_timestamp(_number(at(k)))) for k in KEYS["timestamp"]]
+    texts = lambda f: {k: F.try_element_at(obj, F.lit(k)) for k in KEYS[f]}
     # an unlisted word is UNKNOWN; a word under any key beats a number under any other
-    words = [F.when(at(k).startswith('"'), F.coalesce(word_level(json_string(at(k))), F.lit("UNKNOWN"))) for k in KEYS["level"]]
-    numbers = [number_level(F.when(at(k).rlike(r"\A\d+\z"), at(k).try_cast("long"))) for k in KEYS["level"]]
-    texts = [json_string(at(k)) for k in KEYS["message"]]
-    out = {"timestamp": _first(*stamps), "level": _first(*words, *numbers), "message": _first(*texts, _sorted_object(obj))}
-    taken = [_taken(KEYS["timestamp"], stamps), F.coalesce(_taken(KEYS["level"], words), _taken(KEYS["level"], numbers)), _taken(KEYS["message"], texts)]
-    for field in ID_FIELDS:
-        reads = [F.coalesce(json_string(at(k)), _number(at(k))) for k in KEYS[field]]
-        out[field] = _first(*reads)
-        taken.append(_taken(KEYS[field], reads))
-    out["fields"] = _fields_left(obj, taken)
-    return out
+    words = first_of(texts("level"), lambda t: F.when(t.startswith('"'), F.coalesce(word_level(json_string(t)), F.lit("UNKNOWN"))))
+    numbers = first_of(texts("level"), lambda t: number_level(F.when(t.rlike(r"\A\d+\z"), t.try_cast("long"))))
+    out = {
+        "timestamp": first_of(texts("timestamp"), lambda t: F.coalesce(read_timestamp(json_string(t)), epoch_timestamp(_number(t)))),
+        "level": F.coalesce(words, numbers),
+        "message": first_of(texts("message"), json_string),
+    }
+    return out | {f: first_of(texts(f), lambda t: F.coalesce(json_string(t), _number(t))) for f in ID_FIELDS}
 
 
 def _plain(text: Column) -> dict[str, Column]:
@@ -197,16 +192,17 @@ def _logfmt(raw: Column) -> dict[str, Column]:
     last = F.aggregate(pairs, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["k"]), F.create_map(x["k"], x["v"])))
     prefix = F.regexp_extract(raw, rf"(?s)\A(.*?){PAIR}", 1)
     written = F.col("_pairs")
-    first = lambda names: _first(*[F.try_element_at(written, F.lit(k)) for k in names])
+    texts = lambda f: {k: F.try_element_at(written, F.lit(k)) for k in KEYS[f]}
+    same = lambda t: t
     out = {
         "_pairs": last,
-        "timestamp": _first(*[read_timestamp(F.try_element_at(written, F.lit(k))) for k in KEYS["timestamp"]], find_timestamp(prefix)),
-        "level": _first(*[word_level(F.try_element_at(written, F.lit(k))) for k in KEYS["level"]], extract_level(prefix), F.lit("UNKNOWN")),
-        "message": F.coalesce(first(KEYS["message"]), raw),
+        "timestamp": F.coalesce(first_of(texts("timestamp"), read_timestamp)["v"], let(prefix, find_timestamp)),
+        "level": F.coalesce(first_of(texts("level"), word_level)["v"], let(prefix, extract_level), F.lit("UNKNOWN")),
+        "message": F.coalesce(first_of(texts("message"), same)["v"], raw),
         "fields": F.transform_values(written, lambda _, v: _logfmt_value(v)),
     }
-    out |= {f: first(KEYS[f]) for f in ID_FIELDS}
-    out["thread_id"] = F.coalesce(out["thread_id"], extract_thread(prefix))
+    out |= {f: first_of(texts(f), same)["v"] for f in ID_FIELDS}
+    out["thread_id"] = F.coalesce(out["thread_id"], let(prefix, extract_thread))
     return out
 
 
@@ -219,17 +215,13 @@ def _custom(raw: Column, pattern: JavaPattern, timestamp_format: str | None) ->
         F.when(v.rlike(r"\A\d{1,2}-\d{1,2}-\d{4} \d{1,2}:\d{1,2}:\d{1,2}\z"), F.try_to_timestamp(v, F.lit("d-M-y H:m:s")).cast("timestamp_ntz")),
     )
     stamp = lambda v: F.coalesce(read_with(v, timestamp_format), loose(v)) if timestamp_format else loose(v)
-    stamps = [stamp(group(k)) for k in KEYS["timestamp"]]
-    levels = [F.when(group(k).isNotNull(), F.coalesce(word_level(group(k)), F.lit("UNKNOWN"))) for k in KEYS["level"]]
-    texts = [group(k) for k in KEYS["message"]]
-    out = {"timestamp": _first(*stamps), "level": _first(*levels), "message": F.coalesce(*texts, raw)}
-    taken = [_taken(KEYS["timestamp"], stamps), _taken(KEYS["level"], levels), _taken(KEYS["message"], texts)]
-    for field in ID_FIELDS:
-        reads = [group(k) for k in KEYS[field]]
-        out[field] = _first(*reads)
-        taken.append(_taken(KEYS[field], reads))
+    texts = lambda f: {k: group(k) for k in KEYS[f] if k in pattern.groups}
+    readers = {"timestamp": stamp, "level": lambda t: F.when(t.isNotNull(), F.coalesce(word_level(t), F.lit("UNKNOWN")))}
+    found = {f: first_of(texts(f), readers.get(f, lambda t: t)) for f in KEYS if texts(f)}
+    out = {f: x["v"] for f, x in found.items()}
+    out["message"] = F.coalesce(out["message"], raw) if "message" in out else raw
     named = F.create_map(*[x for k in pattern.groups for x in (F.lit(k), group(k))]) if pattern.groups else F.create_map().cast("map<string,string>")
-    left = F.map_filter(_fields_left(named, taken), lambda _, v: v.isNotNull())
+    left = F.map_filter(_fields_left(named, [x["k"] for x in found.values()]) if found else named, lambda _, v: v.isNotNull())
     out["fields"] = F.transform_values(left, lambda _, v: json_text(v))
     return out
 
@@ -267,7 +259,12 @@ def parse(lines: DataFrame, force: str | None = None, custom_regex: str | None =
     df = df.withColumn("format", found)
     logfmt = _logfmt(raw)
     df = df.withColumn("_pairs", F.when(F.col("format") == "Logfmt", logfmt.pop("_pairs")))
-    readers = {"Json": _json(df), "Syslog": _syslog(raw), "CommonLog": _common(raw), "Logfmt": logfmt, "PlainText": _plain(raw)}
+    found = _json()
+    df = df.withColumn("_j", F.when(F.col("format") == "Json", F.struct(*[x.alias(f) for f, x in found.items()])))
+    json = {f: F.col(f"_j.{f}.v") for f in found}
+    json["message"] = F.coalesce(json["message"], _sorted_object(F.col("_json")))
+    json["fields"] = _fields_left(F.col("_json"), [F.col(f"_j.{f}.k") for f in found])
+    readers = {"Json": json, "Syslog": _syslog(raw), "CommonLog": _common(raw), "Logfmt": logfmt, "PlainText": _plain(raw)}
     if pattern:
         readers["Custom"] = _custom(raw, pattern, timestamp_format)
     types = {"timestamp": "timestamp_ntz", "fields": "map<string,string>"}
