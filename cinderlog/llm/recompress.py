@@ -7,7 +7,7 @@ symbols except at their ends. For each symbol we keep the words its being there
 those words recur, so does the symbol. A window of ``WIDTH`` words holds such interior symbols; the
 one of least name stands for the window. Thus equal windows have equal keys, neighbouring windows
 mostly share one, and only the texts' distinct keys are shuffled (revealing). Windows whose key
-lies in two documents are then compared by 128-bit names of all their words, and a window is removed
+lies in two documents are then compared by 96-bit names of all their words, and a window is removed
 if the least document that has it comes before (verifying).
 
 A document equal as a whole to an earlier one is settled by its digest: all of it goes if it holds a
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from cinderlog.llm.stages import drop, release_shuffles, stage
 from cinderlog.llm.words import Words, mix64, pieces, scan, text_of, utf8, window_names
 
-WIDTH, ROUNDS = 13, 1
+#: A key names the words a symbol depends on and MARGIN more on either side, so that chance repeats of common words are few.
+WIDTH, ROUNDS, MARGIN = 13, 1, 1
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(2**64 - 1)
 
@@ -78,19 +79,26 @@ def window_keys(w: Words, width: int = WIDTH, rounds: int = ROUNDS) -> tuple[np.
         none = np.zeros(0, np.int64)
         return none, none, none.astype(np.uint64)
     at = np.flatnonzero(texts[: n - width + 1] == texts[width - 1 :])
-    best = np.full(n, _NONE)
-    for k, (symbol, low, high) in enumerate(rounds_of(w.name, w.first, rounds)):
+    best, salted = np.full(n, _NONE), mix64(w.name)
+    for k, (_, low, high) in enumerate(rounds_of(w.name, w.first, rounds)):
+        low, high = low - MARGIN, high + MARGIN
         fits = (low >= 0) & (high <= n) & (high - low <= width)
-        symbol, low, high = symbol[fits], low[fits], high[fits]
-        # a key names the words that the symbol depends on, not the symbol alone
-        context = np.zeros(len(low), np.uint64)
-        for j in range(width):
-            more = low + j < high
-            context[more] = mix64(context[more] * _STEP + w.name[low[more] + j])
+        low, high = low[fits], high[fits]
+        # a key names all the words that the symbol depends on, not the symbol alone
+        size, context = high - low, np.zeros(len(low), np.uint64)
+        for j in range(int(size.max(initial=0))):
+            more = np.flatnonzero(size > j)
+            context[more] = (context[more] ^ salted[low[more] + j]) * _STEP
+            context[more] ^= context[more] >> np.uint64(29)
         context = mix64(context + np.uint64(k + 1))
-        for back in range(width):
-            ok = (low - back >= 0) & (high <= low - back + width)
-            np.minimum.at(best, low[ok] - back, context[ok])
+        once = len(low) < 2 or bool((low[1:] > low[:-1]).all())
+        for back in range(width - int(size.min(initial=width)) + 1):
+            ok = np.flatnonzero((low >= back) & (size <= width - back))
+            at_, value = low[ok] - back, context[ok]
+            if once:
+                best[at_] = np.minimum(best[at_], value)
+            else:
+                np.minimum.at(best, at_, value)
     keys = best[at]
     bare = keys == _NONE
     if bare.any():
@@ -98,20 +106,17 @@ def window_keys(w: Words, width: int = WIDTH, rounds: int = ROUNDS) -> tuple[np.
     return at, texts[at], keys
 
 
-def _distinct(owner: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of each text, in order of text."""
-    changes = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]) if len(key) else np.zeros(0, bool)
-    owner, key = owner[changes], key[changes]
-    _, at = np.unique(mix64(key + mix64(owner.astype(np.uint64))), return_index=True)
-    at.sort()
-    return owner[at], key[at]
+def _changes(owner: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of each text without those that equal the one before."""
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]) if len(key) else np.zeros(0, bool)
+    return owner[new], key[new]
 
 
 def reveal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id and the distinct keys of its windows."""
     for batch in pieces(batches):
         _, owner, key = window_keys(scan(*utf8(batch.column("text"))))
-        owner, key = _distinct(owner, key)
+        owner, key = _changes(owner, key)
         bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds), pa.array(key.view(np.int64)))], ["doc_id", "keys"])
 
@@ -123,7 +128,7 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows whose key is among the document's shared keys: doc_id, place (in words), two names."""
+    """Windows whose key is among the document's shared keys: doc_id, place (in words), and a name of 96 bits in two parts."""
     for batch in pieces(batches):
         w = scan(*utf8(batch.column("text")))
         at, owner, key = window_keys(w)
@@ -131,8 +136,8 @@ def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = np.isin(mix64(key + mix64(owner.astype(np.uint64))), mix64(shared.view(np.uint64) + mix64(row.astype(np.uint64))))
         at, owner = at[some], owner[some]
         ids = np.asarray(batch.column("doc_id").fill_null(0), np.int64)
-        names = [window_names(w.name, WIDTH, seed)[at].view(np.int64) if len(at) else np.zeros(0, np.int64) for seed in (21, 22)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array((at - w.first[owner]).astype(np.int32)), *map(pa.array, names)], ["doc_id", "place", "h1", "h2"])
+        h1, h2 = (window_names(w.name, WIDTH, seed)[at].view(np.int64) if len(at) else np.zeros(0, np.int64) for seed in (21, 22))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array((at - w.first[owner]).astype(np.int32)), pa.array(h1), pa.array((h2 >> 32).astype(np.int32))], ["doc_id", "place", "h1", "h2"])
 
 
 def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,13 +176,15 @@ def dedup(docs: DataFrame) -> DataFrame:
     least = digests.groupBy("digest").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     copies = stage(digests.join(least, "digest").where("lo < doc_id").select("doc_id").distinct())
 
-    revealed = read.where("doc_id IS NOT NULL").mapInArrow(reveal, "doc_id long, keys array<long>").select("doc_id", F.explode("keys").alias("key"))
+    keyed = stage(read.where("doc_id IS NOT NULL").mapInArrow(reveal, "doc_id long, keys array<long>"))
+    revealed = keyed.select("doc_id", F.explode("keys").alias("key"))
     shared = revealed.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
     per_doc = stage(revealed.join(shared, "key").groupBy("doc_id").agg(F.collect_list("key").alias("keys")))
+    drop(keyed)
     release_shuffles(spark)
 
     asked = per_doc.join(copies, "doc_id", "left_anti")
-    windows = stage(read.join(asked, "doc_id").mapInArrow(candidates, "doc_id long, place int, h1 long, h2 long"))
+    windows = stage(read.join(asked, "doc_id").mapInArrow(candidates, "doc_id long, place int, h1 long, h2 int"))
     drop(per_doc)
     release_shuffles(spark)
 
