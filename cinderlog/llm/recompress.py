@@ -15,7 +15,7 @@ window. Hot keys and windows are pre-aggregated to a least and a largest documen
 joins back on them are plain equi-joins, which Spark splits under skew.
 
 Defined results: null text has no words; a null doc_id neither loses words nor takes any from others;
-rows of equal id never take words from each other; texts under WIDTH words stay; an empty table
+rows of equal id never take words from each other, and each has its own result; texts under WIDTH words stay; an empty table
 gives no rows; extra columns are ignored.
 """
 
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderlog.llm.stages import drop, release_shuffles, stage
@@ -128,7 +128,7 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows whose key is among the document's shared keys: doc_id, place (in words), and a name of 96 bits in two parts."""
+    """Windows whose key is among the document's shared keys: doc_id, nth (text of that id), place (in words), and a name of 96 bits in two parts."""
     for batch in pieces(batches):
         w = scan(*utf8(batch.column("text")))
         at, owner, key = window_keys(w)
@@ -137,7 +137,8 @@ def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, owner = at[some], owner[some]
         ids = np.asarray(batch.column("doc_id").fill_null(0), np.int64)
         h1, h2 = (window_names(w.name, WIDTH, seed)[at].view(np.int64) if len(at) else np.zeros(0, np.int64) for seed in (21, 22))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array((at - w.first[owner]).astype(np.int32)), pa.array(h1), pa.array((h2 >> 32).astype(np.int32))], ["doc_id", "place", "h1", "h2"])
+        nth = np.asarray(batch.column("nth"), np.int32)[owner]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array(nth), pa.array((at - w.first[owner]).astype(np.int32)), pa.array(h1), pa.array((h2 >> 32).astype(np.int32))], ["doc_id", "nth", "place", "h1", "h2"])
 
 
 def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,6 +147,8 @@ def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = scan(*utf8(batch.column("text")), named=False)
         n = np.diff(w.first)
         place, row = _flat(batch.column("places"))
+        fits = place + WIDTH <= n[row]
+        place, row = place[fits], row[fits]
         cover = np.zeros(len(w.start) + WIDTH + 1, np.int64)
         np.add.at(cover, w.first[row] + place, 1)
         np.add.at(cover, w.first[row] + place + WIDTH, -1)
@@ -172,25 +175,35 @@ def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text of every document."""
     spark = docs.sparkSession
     read = docs.select(F.col("doc_id").cast("long"), "text")
-    digests = read.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("digest"))
+    digests = stage(read.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("digest")))
+    # texts of an id that has several are numbered; all others are number 0
+    several = digests.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select("doc_id")
+    order = Window.partitionBy("doc_id").orderBy("digest")
+    numbers = stage(digests.join(several, "doc_id", "left_semi").distinct().withColumn("nth", F.row_number().over(order) - 1))
     least = digests.groupBy("digest").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    copies = stage(digests.join(least, "digest").where("lo < doc_id").select("doc_id").distinct())
+    copied = digests.join(least, "digest").where("lo < doc_id").join(numbers, ["doc_id", "digest"], "left")
+    copies = stage(copied.groupBy("doc_id").agg(F.collect_set(F.coalesce("nth", F.lit(0))).alias("gone")))
+    read = read.withColumn("nth", F.lit(0)) if numbers.isEmpty() else read.withColumn("digest", F.sha2("text", 256)).join(numbers, ["doc_id", "digest"], "left").select("doc_id", "text", F.coalesce("nth", F.lit(0)).alias("nth"))
+    drop(digests)
 
-    keyed = stage(read.where("doc_id IS NOT NULL").mapInArrow(reveal, "doc_id long, keys array<long>"))
+    keyed = stage(read.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(reveal, "doc_id long, keys array<long>"))
     revealed = keyed.select("doc_id", F.explode("keys").alias("key"))
     shared = revealed.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
     per_doc = stage(revealed.join(shared, "key").groupBy("doc_id").agg(F.collect_list("key").alias("keys")))
     drop(keyed)
     release_shuffles(spark)
 
-    asked = per_doc.join(copies, "doc_id", "left_anti")
-    windows = stage(read.join(asked, "doc_id").mapInArrow(candidates, "doc_id long, place int, h1 long, h2 int"))
+    asked = read.join(per_doc.join(copies, "doc_id", "left"), "doc_id").where(~F.coalesce(F.array_contains("gone", F.col("nth")), F.lit(False)))
+    windows = stage(asked.select("doc_id", "nth", "text", "keys").mapInArrow(candidates, "doc_id long, nth int, place int, h1 long, h2 int"))
     drop(per_doc)
     release_shuffles(spark)
 
     owners = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
-    later = stage(windows.join(owners, ["h1", "h2"]).where("lo < doc_id").groupBy("doc_id").agg(F.collect_list("place").alias("places")))
+    cuts = windows.join(owners, ["h1", "h2"]).where("lo < doc_id").groupBy("doc_id", "nth").agg(F.collect_list("place").alias("places"))
+    later = stage(cuts.groupBy("doc_id").agg(F.collect_list(F.struct("nth", "places")).alias("cuts")))
     drop(windows)
     release_shuffles(spark)
-    changes = copies.withColumn("copy", F.lit(True)).join(later, "doc_id", "full_outer")
-    return read.join(changes, "doc_id", "left").select("doc_id", "text", "places", "copy").mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_text string")
+    mine = F.filter("cuts", lambda c: c["nth"] == F.col("nth"))
+    changes = copies.join(later, "doc_id", "full_outer")
+    joined = read.join(changes, "doc_id", "left").select("doc_id", "text", F.try_element_at(mine, F.lit(1))["places"].alias("places"), F.array_contains("gone", F.col("nth")).alias("copy"))
+    return joined.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_text string")
