@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+#: Rows of an Arrow batch while a stage is written: long texts make batches of the usual 10,000 rows large.
+BATCH_ROWS, _ROWS_KEY = 512, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,12 +32,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[key]}"
 
 
-def stage(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and return it as read from there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    rows = spark.conf.get(_ROWS_KEY)
+    spark.conf.set(_ROWS_KEY, str(BATCH_ROWS))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_ROWS_KEY, rows)
     out = spark.read.schema(df.schema).parquet(path)
     out._stage_path = path
     return out

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 WORD = r"[^\x20\x09-\x0D]+"
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 _white = np.zeros(256, bool)
 _white[[0x20, *range(0x09, 0x0E)]] = True
 _byte = np.random.default_rng(0x5EED).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
