@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from cinderlog.functions.levels import word_level
 from cinderlog.functions.patterns import template
+from cinderlog.functions.times import read_timestamp
 from cinderlog.schema import as_entries
+from cinderlog.sources.parse import json_text
 
 ROWS = 50_000
 
@@ -68,33 +71,41 @@ class SqliteSource(DataSource):
 
 @dataclass(frozen=True)
 class Mapping:
-    """How a table's rows become entries: names of columns or of keys of its JSON column, and a message template."""
+    """How a table's rows become entries: names of columns or of keys of its JSON column, and a message template (``{table_name}`` is the table)."""
 
     table: str
-    timestamp: str | None = None
-    level: str | None = None
-    message: str = "{table} row {_id}"
-    ids: dict[str, str] = field(default_factory=dict)
+    timestamp: str = "created_at"
+    iso: bool = False
+    level: str | None = "status"
     levels: dict[str, str] = field(default_factory=dict)
+    message: str = "{table_name} row {_id}"
+    correlation: str | None = "correlation_id"
+    service: str | None = None
 
 
 # How two known tables of a job queue are read.
 KNOWN = {
-    "qler_jobs": Mapping("qler_jobs", "created_at", "status", "Job {ulid} {task} [{status}]", {"correlation_id": "correlation_id", "thread_id": "queue_name"}, {"failed": "ERROR", "cancelled": "WARN", "pending": "DEBUG", "running": "INFO", "completed": "INFO"}),
-    "qler_job_attempts": Mapping("qler_job_attempts", "started_at", "status", "Attempt {attempt_number} of {job_ulid} [{status}]", {"correlation_id": "job_ulid", "thread_id": "worker_id"}, {"failed": "ERROR", "lease_expired": "WARN", "running": "INFO", "completed": "INFO"}),
+    "qler_jobs": Mapping("qler_jobs", levels={"pending": "INFO", "running": "INFO", "completed": "INFO", "failed": "ERROR", "cancelled": "WARN"}, message="[job] {task} ({ulid}) status={status}", service="qler"),
+    "qler_job_attempts": Mapping("qler_job_attempts", "started_at", levels={"running": "INFO", "completed": "INFO", "failed": "ERROR", "lease_expired": "WARN"}, message="[attempt] job={job_ulid} attempt={attempt_number} status={status}", correlation=None, service="qler"),
 }
 
 
+def generic(table: str, columns: list[str]) -> Mapping:
+    """Of a table that is not known. The message names a placeholder that no row fills, so it stays as written."""
+    stamp = "timestamp" if "created_at" not in columns and "timestamp" in columns else "created_at"
+    return Mapping(table, stamp, True, "status" if "status" in columns else None, {}, "{" + table + "} row {_id}", "correlation_id" if "correlation_id" in columns else None, table)
+
+
 def auto_mappings(path: str) -> list[Mapping]:
     """Known tables by their mapping, others with an ``_id`` by a plain one; tables without are left out."""
-    return [KNOWN.get(t, Mapping(t, "created_at")) for t, cols in tables(path).items() if t in KNOWN or "_id" in cols]
+    return [KNOWN.get(t) or generic(t, cols) for t, cols in tables(path).items() if t in KNOWN or "_id" in cols]
 
 
-def epoch(text: Column, now: datetime) -> Column:
-    """A number above 1e12 counts milliseconds, else seconds; without one the time is ``now``."""
+def epoch(text: Column) -> Column:
+    """A number above 1e12 counts milliseconds, else seconds."""
     n = text.try_cast("double")
     us = F.round(F.when(n > 1e12, n * 1e3).otherwise(n * 1e6)).cast("long")
-    return F.coalesce(F.timestamp_add("MICROSECOND", us, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")), text.try_cast("timestamp_ntz"), F.lit(now.isoformat(" ")).cast("timestamp_ntz"))
+    return F.timestamp_add("MICROSECOND", us, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 def read_table(spark: SparkSession, path: str, mapping: Mapping, now: datetime) -> DataFrame:
@@ -106,15 +117,23 @@ def read_table(spark: SparkSession, path: str, mapping: Mapping, now: datetime)
     own = F.map_filter(F.create_map(*[x for c in promoted for x in (F.lit(c), F.col(f"`{c}`"))]), lambda _, v: v.isNotNull()) if promoted else F.create_map().cast("map<string,string>")
     merged = rows.select(F.map_concat(F.map_filter(blob, lambda k, _: ~F.array_contains(F.map_keys(own), k)), own).alias("m"))
     at = lambda k: F.try_element_at("m", F.lit(k)) if k else F.lit(None).cast("string")
-    names = {n: at(n) for n in set(re.findall(r"\{(\w+)\}", mapping.message)) if n != "table"}
+    names = {n: at(n) for n in set(re.findall(r"\{(\w+)\}", mapping.message))} | {"table_name": F.lit(mapping.table)}
+    # a placeholder without a value stays as written
+    names = {n: F.coalesce(c, F.lit("{" + n + "}")) for n, c in names.items()}
+    stamp = at(mapping.timestamp)
+    read = read_timestamp(stamp) if mapping.iso else F.coalesce(epoch(stamp), read_timestamp(stamp))
     status = at(mapping.level)
-    level = F.lit(None).cast("string")
-    for word, name in mapping.levels.items():
-        level = F.when(F.lower(status) == word, name).otherwise(level)
+    if mapping.levels:
+        level = F.lit("INFO")
+        for word, name in mapping.levels.items():
+            level = F.when(status == word, name).otherwise(level)
+    else:
+        level = F.when(F.coalesce(status, F.lit("")) == "", "INFO").otherwise(F.coalesce(word_level(status), F.lit("UNKNOWN")))
+    number = r"\A-?\d+(?:\.\d+)?\z"
     out = merged.select(
-        F.lit(f"{path}:{mapping.table}").alias("file"), F.coalesce(at("_id").try_cast("long"), F.lit(0)).alias("line_number"), epoch(at(mapping.timestamp), now).alias("timestamp"), F.coalesce(level, F.lit("INFO")).alias("level"),
-        F.lit("Json").alias("format"), template(mapping.message, names).alias("message"), *[at(v).alias(k) for k, v in mapping.ids.items()], F.lit(mapping.table).alias("service_name"),
-        F.transform_values("m", lambda _, v: F.when(v.rlike(r"\A-?\d+(?:\.\d+)?\z"), v).otherwise(F.to_json(F.struct(v.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(v.alias("v")))) - 6))).alias("fields"),
+        F.lit(f"{path}:{mapping.table}").alias("file"), F.coalesce(at("_id").try_cast("long"), F.lit(0)).alias("line_number"), F.when(stamp.isNull(), F.lit(now.isoformat(" ")).cast("timestamp_ntz")).otherwise(read).alias("timestamp"),
+        level.alias("level"), F.lit("Json").alias("format"), template(mapping.message, names).alias("message"), at(mapping.correlation).alias("correlation_id"), F.lit(mapping.table).alias("thread_id"), F.lit(mapping.service).alias("service_name"),
+        F.transform_values("m", lambda _, v: F.when(v.rlike(number), v).otherwise(json_text(v))).alias("fields"),
     )
     return as_entries(out)
 

@@ -17,18 +17,18 @@ def test_sqlite_rows_become_entries(spark, tmp_path):
     path = str(tmp_path / "q.db")
     with sqlite3.connect(path) as db:
         db.execute("CREATE TABLE qler_jobs(_id INTEGER PRIMARY KEY, data TEXT, ulid TEXT, status TEXT, queue_name TEXT)")
-        db.execute("CREATE TABLE plain(_id INTEGER PRIMARY KEY, created_at REAL)")
+        db.execute("CREATE TABLE plain(_id INTEGER PRIMARY KEY, created_at TEXT, status TEXT)")
         db.execute("CREATE TABLE skipped(x TEXT)")
         for i in range(7):
             db.execute("INSERT INTO qler_jobs VALUES (?, ?, ?, ?, ?)", (i, json.dumps({"task": "t", "correlation_id": f"c{i}", "status": "old", "created_at": 1700000000 + i}), f"u{i}", "failed" if i % 2 else "completed", "default"))
-        db.execute("INSERT INTO plain VALUES (1, 1700000000500)")
-        db.execute("INSERT INTO plain VALUES (2, NULL)")
-    got = {(r["service_name"], r["line_number"]): r for r in read_database(spark, path, NOW).collect()}
+        db.execute("INSERT INTO plain VALUES (1, '2023-11-14T22:13:20.5Z', 'warning')")
+        db.execute("INSERT INTO plain VALUES (2, NULL, 'odd')")
+    got = {(r["thread_id"], r["line_number"]): r for r in read_database(spark, path, NOW).collect()}
     assert len(got) == 9
     one = got["qler_jobs", 3]
-    assert (one["level"], one["message"], one["correlation_id"], one["timestamp"]) == ("ERROR", "Job u3 t [failed]", "c3", datetime(2023, 11, 14, 22, 13, 23))
-    assert (got["plain", 1]["timestamp"], got["plain", 1]["message"]) == (datetime(2023, 11, 14, 22, 13, 20, 500000), "{table} row 1")
-    assert got["plain", 2]["timestamp"] == NOW
+    assert (one["level"], one["message"], one["correlation_id"], one["timestamp"]) == ("ERROR", "[job] t (u3) status=failed", "c3", datetime(2023, 11, 14, 22, 13, 23))
+    assert (got["plain", 1]["timestamp"], got["plain", 1]["message"]) == (datetime(2023, 11, 14, 22, 13, 20, 500000), "{plain} row 1")
+    assert (got["plain", 2]["timestamp"], got["plain", 2]["level"], got["plain", 1]["level"]) == (NOW, "UNKNOWN", "WARN") and one["service_name"] == "qler"
 
 
 def test_complete_lines_and_rotation(tmp_path):
