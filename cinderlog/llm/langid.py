@@ -40,12 +40,11 @@ def symbol_table() -> np.ndarray:
     """Of each code point: 0 for what is no letter."""
     if not _symbol:
         out = np.zeros(0x110000, np.uint8)
-        for c in range(0x30000):
+        for c in range(0x32400):
             x = chr(c)
             if x.isalpha():
                 low = ord(x.lower()[0])
                 out[c] = low - 0x60 if 0x61 <= low <= 0x7A else 27 + low * 2654435761 % 2**32 % (SYMBOLS - 27)
-        out[0x30000:] = 27
         _symbol.append(out)
     return _symbol[0]
 
