@@ -180,23 +180,39 @@ def root_causes(table: DataFrame) -> DataFrame:
 
 
 def propagation(table: DataFrame) -> DataFrame:
-    """For each root cause, the unbroken run of erring ancestors above it: cause, chain (upward), length."""
+    """For each root cause with an erring ancestor: cause, and the chain of erring nodes upward from it."""
     bad = table.where("error_count > 0").select(F.array_join("path", "\x1f").alias("p"), F.col("id").alias("up_id"))
     ups = root_causes(table).select("id", "path", F.explode(F.sequence(F.size("path"), F.lit(1), F.lit(-1))).alias("n")).withColumn("p", F.expr("array_join(slice(path, 1, n), '\x1f')"))
-    marked = ups.join(bad, "p", "left")
-    broken = marked.groupBy("id", "path").agg(F.max(F.when(F.col("up_id").isNull(), F.col("n"))).alias("stop"))
-    kept = marked.join(broken, ["id", "path"]).where("up_id IS NOT NULL AND n > coalesce(stop, 0)")
-    return kept.groupBy("id", "path").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "up_id")), False), lambda x: x["up_id"]).alias("chain")).select("id", "chain", F.size("chain").alias("length"))
+    chained = ups.join(bad, "p").groupBy("id", "path").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "up_id")), False), lambda x: x["up_id"]).alias("chain"))
+    return chained.where(F.size("chain") > 1).select("id", "chain", F.size("chain").alias("length"))
 
 
 def impact(table: DataFrame) -> DataFrame:
-    """One row: nodes at or above a root cause, their part of all in per cent, the longest chain, the most root causes of one depth."""
+    """One row: nodes with errors, their part of all in per cent, the deepest root cause's depth, and how many root causes share a depth, if more than one does."""
     causes = root_causes(table)
-    hit = causes.select(F.explode("path").alias("key")).distinct().agg(F.count("*").alias("affected"))
+    hit = table.where("error_count > 0").agg(F.countDistinct("id").alias("affected"))
     n = table.agg(F.countDistinct("key").alias("n"))
-    long = propagation(table).agg(F.coalesce(F.max("length"), F.lit(0)).alias("max_propagation_depth"))
-    together = causes.groupBy("depth").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("concurrent_failures"))
-    return hit.join(n).join(long).join(together).select("affected", F.round(100 * F.col("affected") / F.col("n"), 6).alias("affected_percentage"), "max_propagation_depth", "concurrent_failures")
+    deep = causes.agg(F.coalesce(F.max("depth"), F.lit(0)).alias("max_propagation_depth"))
+    together = causes.groupBy("depth").count().agg(F.coalesce(F.max(F.when(F.col("count") > 1, F.col("count"))), F.lit(0)).alias("concurrent_failures"))
+    return hit.join(n).join(deep).join(together).select("affected", F.round(100 * F.col("affected") / F.col("n"), 6).alias("affected_percentage"), "max_propagation_depth", "concurrent_failures")
+
+
+def recommendations(table: DataFrame) -> list[str]:
+    """What to look at first, as sentences: driver work on one request's few error nodes."""
+    causes, chains = root_causes(table).select("id", "depth", "is_leaf").collect(), propagation(table).select("length").collect()
+    if not causes:
+        return []
+    out = [f"Investigate {causes[0]['id']} first - it appears to be the root cause"]
+    if causes[0]["is_leaf"]:
+        out.append(f"Error originated at leaf node (depth {causes[0]['depth']}) - check external dependencies")
+    if chains:
+        out.append(f"{sum(c['length'] for c in chains)} nodes show cascading failures - consider adding circuit breakers")
+    facts = impact(table).first()
+    if facts["concurrent_failures"] > 1:
+        out.append(f"{facts['concurrent_failures']} concurrent failures detected - possible systemic issue")
+    if facts["affected_percentage"] > 50:
+        out.append("High impact failure (>50% of nodes affected) - prioritize investigation")
+    return out
 
 
 def secondary_bottlenecks(table: DataFrame, threshold: float = 20.0, most: int = 4) -> DataFrame:
