@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,7 +104,8 @@ def nodes(entries: DataFrame, identifier: str, naming: bool = True, temporal: bo
     groups = found.groupBy("key").agg(F.min_by("parent_span_id", F.when(F.col("parent_span_id").isNotNull(), at)).alias("parent"))
     roots = span_roots(groups)
     members = child_members(entries, naming)
-    tree = _walk(roots, members.select("parent_key", "child_key").distinct(), max_depth)
+    # one request's tree is small and read several times; the walk over all edges runs once
+    tree = _walk(roots, members.select("parent_key", "child_key").distinct(), max_depth).persist(StorageLevel.MEMORY_AND_DISK)
     root_facts = found.groupBy("key").agg(*node_facts()).withColumn("parent_key", F.lit(None).cast("string"))
     reached = tree.where("parent_key IS NOT NULL").select("parent_key", F.col("key").alias("child_key")).distinct()
     kid_facts = members.join(reached, ["parent_key", "child_key"]).join(entries, list(POSITION)).groupBy("parent_key", F.col("child_key").alias("key")).agg(*node_facts())
@@ -116,7 +118,7 @@ def nodes(entries: DataFrame, identifier: str, naming: bool = True, temporal: bo
         "key", F.initcap(F.substring_index("key", ":", 1)).alias("node_type"), F.expr("substr(key, instr(key, ':') + 1)").alias("id"), "parent_key", "path", "depth", "name", "service", "start_time", "end_time",
         "duration_ms", "entry_count", "error_count", "parent_span_id", confidence.alias("confidence"), F.when(explicit, F.array(F.lit("explicit_parent_span_id"))).otherwise(guess).alias("evidence"), "first_at",
     )
-    return in_pre_order(typed)
+    return in_pre_order(typed.persist(StorageLevel.MEMORY_AND_DISK))
 
 
 def in_pre_order(table: DataFrame) -> DataFrame:
