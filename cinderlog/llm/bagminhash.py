@@ -8,11 +8,16 @@ the work hardly grows with weights. Two texts agree in a register with the proba
 weighted Jaccard similarity.
 
 Texts of equal multisets are one class from the start. Among their first texts, those that agree in
-a band of ``ROWS`` registers meet in a bucket. In a bucket each text is compared with one pivot, not
-with all others; texts of buckets that still hold more than one component are then compared with a
-pivot of each other component, and at last with every text of another component, so no link that
-joins different components is lost. Every link is verified on whole multisets: overlap at least
-``SIMILAR`` of the union. Components are found in Spark.
+a band of ``ROWS`` registers meet in a bucket, and buckets of one pivot form a group. Texts of a group
+are not compared with each other, but with a centre: the pivot, or, in groups of ``CROWD`` texts
+and more, the shingles that most of a sample of the group has. With A(x) for the shingles of x that the
+centre lacks, R(x) for the centre's that x lacks, and D(x) for both, two texts differ in
+|D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles. First each text is compared, by D, with the text m of
+least D. That and the following lose no link: a text too far from m can only be close to a y with
+which it shares a part of D(y), whose least size follows from the sizes of D; and if it shares
+nothing of A(y), that much of R(y). Such pairs are found by equal elements among the first ones of both
+sides (prefix filtering), if the two are not in one component yet, and verified. Every link is
+verified on whole multisets: overlap at least ``SIMILAR`` of the union. Components are found in Spark.
 
 Defined results: a null or wordless text is a class of its own, as is a row of null id (class null);
 rows of equal id are one document; equal texts share a class; an empty table gives no rows; extra
@@ -29,11 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinderlog.llm.components import components
+from cinderlog.llm.sampling import draw
 from cinderlog.llm.stages import drop, release_shuffles, small, stage
 from cinderlog.llm.words import mix64, pieces, scan, text_of, utf8, window_names
 
 SHINGLE, SIMILAR, REGISTERS, BANDS = 5, 0.8, 128, 32
 ROWS = REGISTERS // BANDS
+#: Groups of so many texts get a centre of their own, from a sample of about CROWD_SAMPLE of them; what OFTEN or more of these have is often.
+CROWD, CROWD_SAMPLE, OFTEN = 8, 256, 3
 #: Lists of ids are broadcast up to this length, about 16 MB; beyond, joins are shuffled.
 MOST_IDS = 500_000
 _TINY = np.uint64(0x9E3779B97F4A7C15)
@@ -124,12 +132,75 @@ def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(each, bounds)], ["doc_id", "elements"])
 
 
+def _both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    of = lambda c: sets.select(F.col("doc_id").alias(c), F.col("elements").alias(f"of_{c}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b")
+
+
+def far_apart(similar: float) -> float:
+    """The part of both sizes' sum that two sets may differ by: similar = shared / union."""
+    return (1 - similar) / (1 + similar)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     """Of candidate pairs (a, b), those whose multisets overlap enough."""
-    of = lambda c: sets.select(F.col("doc_id").alias(c), F.col("elements").alias(f"of_{c}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
     shared = F.size(F.array_intersect("of_a", "of_b"))
-    return both.where(shared >= similar * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
+    return _both(pairs, sets).where(shared >= similar * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
+
+
+def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs of a pivot a and a text b: n (b's size), and what b has more and less than the pivot."""
+    return _both(pairs, sets).select("a", "b", F.size("of_b").alias("n"), F.array_except("of_b", "of_a").alias("added"), F.array_except("of_a", "of_b").alias("removed"))
+
+
+def centred(found: DataFrame, crowd: int, sample: int) -> DataFrame:
+    """Differences from a pivot as those from its group's centre. Each is in one order: what the sample has seldom
+    first, by name, then what it has often, by how often; so that first elements are rare ones."""
+    sizes = found.groupBy("a").agg(F.count("*").alias("size")).where(F.col("size") >= crowd)
+    drawn = found.join(sizes, "a").where(draw(F.col("b"), 8) * F.col("size") < sample)
+    each = drawn.select("a", "b", F.explode(F.concat(F.transform("added", lambda e: F.struct(e.alias("e"), F.lit(True).alias("more"))), F.transform("removed", lambda e: F.struct(e.alias("e"), F.lit(False).alias("more"))))).alias("x"))
+    counts = each.groupBy("a", "x.e", "x.more").agg(F.count("*").alias("k")).where(F.col("k") >= OFTEN).join(drawn.groupBy("a").agg(F.count("*").alias("of")), "a")
+    most, kept = F.expr("2 * k > of"), F.struct("k", "e")
+    # an element that most have is in the centre: what is often then is to lack it
+    pick = lambda more, usual: F.transform(F.array_sort(F.collect_list(F.when((F.col("more") == more) & (most == usual), kept))), lambda x: x["e"])
+    usual = stage(counts.groupBy("a").agg(pick(True, True).alias("gained"), pick(False, True).alias("lost"), pick(True, False).alias("often_more"), pick(False, False).alias("often_less")))
+    none = F.array().cast("array<bigint>")
+    joined = found.join(small(usual, 10_000), "a", "left").select("a", "b", "n", "added", "removed", *[F.coalesce(c, none).alias(c) for c in ("gained", "lost", "often_more", "often_less")])
+    more = F.concat(F.array_except("added", "gained"), F.array_except("lost", "removed"))
+    less = F.concat(F.array_except("removed", "lost"), F.array_except("gained", "added"))
+    sides = joined.select("a", "b", "n", more.alias("more"), less.alias("less"), "often_more", "often_less")
+    in_order = lambda c: F.concat(F.sort_array(F.array_except(c, f"often_{c}")), F.array_intersect(f"often_{c}", c))
+    out = stage(sides.select("a", "b", "n", in_order("more").alias("more"), in_order("less").alias("less")))
+    drop(usual)
+    return out
+
+
+def against_middles(found: DataFrame, similar: float) -> DataFrame:
+    """Of centred differences: the middle m of each group, linked to it or not, and the elements to ask for partners by and to answer by.
+
+    Let T(x, y) be the most that linked texts of these sizes differ by, and d = |D|. A pair shares at
+    least (d(x) + d(y) - T(x, y)) / 2 elements; for whatever partner that is at least d(x) - T(x, .);
+    and as d(s) + d(m) > T(s, m) for a text s not linked to m, what answers it shares at least
+    (d(y) + 1 - d(m) - [T(s, y) - T(s, m)]) / 2. Of k elements of which t are shared, the first k - t + 1 in
+    a fixed order hold the first shared one.
+    """
+    part = far_apart(similar)
+    d = F.size("more") + F.size("less")
+    least = found.groupBy("a").agg(F.min(F.struct(d.alias("d"), F.col("b"))).alias("least")).select("a", F.col("least.b").alias("m"), F.col("least.d").alias("dm"))
+    middles = found.join(least, "a").where("b = m").select("a", "m", "dm", F.col("n").alias("nm"), F.col("more").alias("more_m"), F.col("less").alias("less_m"))
+    rows = found.join(middles, "a")
+    apart = lambda x, y: F.size(F.array_except(x, y)) + F.size(F.array_except(y, x))
+    linked = apart("more", "more_m") + apart("less", "less_m") <= (F.col("n") + F.col("nm")) * part + 1e-9
+    most = F.floor(F.col("n") * (1 + 1 / similar) * part + 1e-9)
+    answering = F.ceil((d + 1 - F.col("dm") - F.ceil(F.greatest(F.col("n") - F.col("nm"), F.lit(0)) * part)) / 2)
+
+    def first(shared):
+        of_more = F.greatest(F.size("more") - F.greatest(shared - F.size("less"), F.lit(1)) + 1, F.lit(0)).cast("int")
+        of_less = F.greatest(F.size("less") - F.greatest(shared, F.lit(1)) + 1, F.lit(0)).cast("int")
+        mark = lambda c, n, more: F.transform(F.slice(c, F.lit(1), n), lambda e, i: F.struct(e.alias("e"), F.lit(more).alias("more"), (F.size(c) - i - 1).alias("left")))
+        return F.concat(mark("more", of_more, True), mark("less", of_less, False))
+
+    return rows.select("a", "b", "m", "n", d.alias("d"), F.size("less").alias("r"), linked.alias("linked"), F.when(~linked, first(d - most)).alias("ask"), first(F.greatest(answering, d - most)).alias("answer"))
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -142,41 +213,44 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     copies = stage(known.join(first, ["h1", "h2", "n"], "left").groupBy("doc_id").agg(F.coalesce(F.min("copy_of"), F.col("doc_id")).alias("copy_of")))
 
     firsts = first.select(F.col("copy_of").alias("doc_id")).distinct()
-    keyed = known.join(firsts, "doc_id", "left_semi").select("doc_id", "n", F.explode("bands").alias("key"))
-    pivots = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("pivot"), F.max("doc_id").alias("last")).where("pivot.doc_id < last").select("key", "pivot")
-    buckets = stage(keyed.join(pivots, "key").select("key", "doc_id", "n", "pivot"))
+    keyed = known.join(firsts, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("key"))
+    crowded = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    multi = stage(keyed.join(crowded, "key").select("key", "doc_id", "size"))
+    central = multi.groupBy("doc_id").agg(F.sum("size").alias("weight"))
+    pivots = multi.join(central, "doc_id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("less"))).alias("top"))
+    buckets = stage(multi.join(pivots, "key").select("doc_id", (-F.col("top.less")).alias("pivot")).distinct())
+    drop(multi)
     drop(signed)
     release_shuffles(spark)
 
     ids = stage(buckets.select("doc_id").distinct())
     sets = stage(read.join(small(ids, MOST_IDS), "doc_id", "left_semi").mapInArrow(elements, "doc_id long, elements array<long>"))
     drop(ids)
-    sized = lambda m, n: F.least(m, n) >= similar * F.greatest(m, n)
-    tried = stage(buckets.where((F.col("doc_id") != F.col("pivot.doc_id")) & sized(F.col("n"), F.col("pivot.n"))).select(F.col("pivot.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct())
-    links = stage(verified(tried, sets, similar))
+    found = stage(differences(buckets.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")), sets))
+    release_shuffles(spark)
+    middle = centred(found, CROWD, CROWD_SAMPLE)
+    drop(found)
+    tried = stage(against_middles(middle, similar))
+    drop(middle)
+    links = stage(tried.where("linked AND b <> m").select(F.col("m").alias("a"), "b"))
     release_shuffles(spark)
 
-    exhaustive = False
-    while True:
-        labels = components(links)
-        placed = buckets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("label", "doc_id").alias("label"))
-        split = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        open_ = stage(placed.join(split, "key", "left_semi"))
-        other = open_.select("key", F.col("doc_id").alias("d"), F.col("n").alias("m"), F.col("label").alias("l"))
-        if not exhaustive:
-            other = other.groupBy("key", "l").agg(F.min(F.struct("d", "m")).alias("p")).select("key", "p.d", "p.m", "l")
-        pairs = open_.join(other, "key").where((F.col("label") != F.col("l")) & sized(F.col("n"), F.col("m"))).select(F.least("doc_id", "d").alias("a"), F.greatest("doc_id", "d").alias("b")).distinct()
-        fresh = stage(pairs.join(tried, ["a", "b"], "left_anti"))
-        more = stage(verified(fresh, sets, similar))
-        drop(open_)
-        if not more.limit(1).count():
-            if exhaustive:
-                drop(fresh, more)
-                break
-            exhaustive = True
-        tried, links = (stage(x.union(y)) for x, y in ((tried, fresh), (links, more)))
-        drop(labels, fresh, more)
-        release_shuffles(spark)
+    labels = components(links)
+    placed = tried.join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
+    asking = placed.where("NOT linked").select("a", "b", "n", "d", "r", "label", F.explode("ask").alias("x")).select("a", "b", "n", "d", "r", "label", "x.*")
+    answers = placed.join(tried.where("NOT linked").select("a").distinct(), "a", "left_semi").select("a", F.col("b").alias("c"), F.col("n").alias("n2"), F.col("d").alias("d2"), F.col("r").alias("r2"), F.col("label").alias("l"), F.explode("answer").alias("x"))
+    answers = answers.select("a", "c", "n2", "d2", "r2", "l", "x.e", "x.more", F.col("x.left").alias("left2"))
+    sized = F.least("n", "n2") >= similar * F.greatest("n", "n2")
+    # what the pair must share at least. Its first shared element leaves so many after it on either side; lost
+    # elements are a reason only where nothing gained is shared
+    shared = F.ceil((F.col("d") + F.col("d2") - F.floor((F.col("n") + F.col("n2")) * far_apart(similar) + 1e-9)) / 2)
+    reason = sized & (shared <= 1 + F.least("left", "left2") + F.when(F.col("more"), F.least("r", "r2")).otherwise(0))
+    fresh = stage(asking.join(answers, ["a", "e", "more"]).where((F.col("label") != F.col("l")) & reason).select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct())
+    more = stage(links.union(verified(fresh, sets, similar)))
+    drop(labels, fresh)
+    release_shuffles(spark)
+    labels = components(more)
+    drop(more)
     drop(buckets, sets, tried, links)
 
     classed = copies.join(labels.select(F.col("node").alias("copy_of"), "label"), "copy_of", "left").select("doc_id", F.coalesce("label", "copy_of").alias("class_id"), "copy_of")
