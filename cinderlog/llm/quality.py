@@ -36,7 +36,7 @@ from cinderlog.llm.words import Words, pieces, scan, text_of, utf8
 BUCKETS, DIM, REACH, NONZERO, SEED = 1 << 14, 48, 2, 4, 77
 SAMPLE, PARTS, BLOCKS, THRESHOLD = 12_000, 16, 32, 0.3
 HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 3e-3, 1e-4
-KEPT_WORDS = 300_000
+KEPT_WORDS = 80_000
 POOLED = 2 * DIM + 4
 
 _letters = re.compile(rb"[A-Za-z\x80-\xff]+")
