@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from cinderlog.llm.components import components
 from cinderlog.llm.sampling import draw
-from cinderlog.llm.stages import drop, release_shuffles, small, stage
+from cinderlog.llm.stages import drop, release_shuffles, small, small_arrays, stage
 from cinderlog.llm.words import mix64, pieces, scan, text_of, utf8, window_names
 
 SHINGLE, SIMILAR, REGISTERS, BANDS = 5, 0.8, 128, 32
@@ -165,7 +165,7 @@ def centred(found: DataFrame, crowd: int, sample: int) -> DataFrame:
     pick = lambda more, usual: F.transform(F.array_sort(F.collect_list(F.when((F.col("more") == more) & (most == usual), kept))), lambda x: x["e"])
     usual = stage(counts.groupBy("a").agg(pick(True, True).alias("gained"), pick(False, True).alias("lost"), pick(True, False).alias("often_more"), pick(False, False).alias("often_less")))
     none = F.array().cast("array<bigint>")
-    joined = found.join(small(usual, 10_000), "a", "left").select("a", "b", "n", "added", "removed", *[F.coalesce(c, none).alias(c) for c in ("gained", "lost", "often_more", "often_less")])
+    joined = found.join(small_arrays(usual, ["gained", "lost", "often_more", "often_less"], MOST_IDS), "a", "left").select("a", "b", "n", "added", "removed", *[F.coalesce(c, none).alias(c) for c in ("gained", "lost", "often_more", "often_less")])
     more = F.concat(F.array_except("added", "gained"), F.array_except("lost", "removed"))
     less = F.concat(F.array_except("removed", "lost"), F.array_except("gained", "added"))
     sides = joined.select("a", "b", "n", more.alias("more"), less.alias("less"), "often_more", "often_less")

@@ -7,6 +7,7 @@ again, so a lost executor costs the tasks since the last stage and not the whole
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import shutil
 import tempfile
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_live: dict[str, SparkSession] = {}
 #: Rows of an Arrow batch while a stage is written: long texts make batches of the usual 10,000 rows large.
 BATCH_ROWS, _ROWS_KEY = 512, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -44,17 +46,30 @@ def stage(df: DataFrame) -> DataFrame:
         spark.conf.set(_ROWS_KEY, rows)
     out = spark.read.schema(df.schema).parquet(path)
     out._stage_path = path
+    _live[path] = spark
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    _live.pop(path, None)
+
+
+@atexit.register
+def _drop_all() -> None:
+    """At the driver's end no result is read any more; a session that was stopped before leaves its last tables."""
+    for path, spark in list(_live.items()):
+        with contextlib.suppress(Exception):
+            _delete(spark, path)
+
+
 def drop(*staged: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for df in staged:
         path = getattr(df, "_stage_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+            _delete(df.sparkSession, path)
 
 
 def release_shuffles(spark: SparkSession) -> None:
@@ -68,5 +83,11 @@ def small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def small_arrays(df: DataFrame, columns: list[str], most: int) -> DataFrame:
+    """The same, with the bound on elements of the array columns and on rows together."""
+    held = df.agg(F.sum(sum((F.size(c) for c in columns), F.lit(1)))).first()[0] or 0
+    return F.broadcast(df) if held <= most else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
