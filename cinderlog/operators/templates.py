@@ -79,7 +79,8 @@ def leaves_of(entries: DataFrame) -> DataFrame:
 def mine(entries: DataFrame, similar: float = SIMILAR, most: int = MOST) -> DataFrame:
     """template, count, percentage (2 digits), examples, variable_positions; commonest first, then the order of creation."""
     leaves = leaves_of(entries)
-    first = _run(leaves, similar, most, None)
+    # templates are few: kept, so that messages are read once where the cap does not bite
+    first = _run(leaves, similar, most, None).persist()
     opened = first.orderBy(*POSITION).select(*POSITION).limit(most + 1).collect()
     # the cap bites only if more templates are opened than it allows
     found = _run(leaves, similar, most, (opened[most - 1]["file"], opened[most - 1]["line_number"])) if len(opened) > most else first
