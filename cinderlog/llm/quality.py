@@ -21,6 +21,7 @@ ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,10 +45,7 @@ _kept: dict[int, tuple[int, int, int]] = {}
 
 
 def _bucket(kind: int, value: bytes) -> int:
-    h = 0xCBF29CE484222325 ^ kind
-    for c in value:
-        h = (h ^ c) * 0x100000001B3 % 2**64
-    return (h ^ h >> 29) % BUCKETS
+    return zlib.crc32(value, kind) * 2654435761 % 2**32 % BUCKETS
 
 
 def word_features(word: bytes) -> tuple[int, int, int]:
