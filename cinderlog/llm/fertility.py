@@ -5,7 +5,8 @@ with a byte-level vocabulary; each distinct word of a batch is encoded once. Per
 gives characters per token (both), the share of byte-fallback tokens, and the entropy of its
 tokens relative to the most that so many tokens can have. A text is rejected if one of these lies
 outside the band of its group: language (script, where lang is null) and order of magnitude of
-tokens. Bands are medians plus or minus a multiple of the interquartile range over all documents.
+tokens. Bands run from the median less a multiple of the interquartile range over all documents upward, for the
+share of byte fallbacks from the median plus that multiple downward.
 
 Defined results: null or empty text counts 0 everywhere and is base_failed; a group of under
 ``MIN_GROUP`` texts has no band and rejects nothing; equal rows get equal results; a null doc_id is
@@ -31,8 +32,8 @@ TOKENIZERS = "/opt/tokenizers"
 PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
-#: A band is the median plus or minus so many interquartile ranges, each at least LEAST of the median.
-REACH, LEAST, MIN_GROUP, MOST_GROUPS = 4.0, 0.05, 50, 50_000
+#: A band ends so many interquartile ranges off the median, each at least LEAST of the median.
+REACH, LEAST, MIN_GROUP, MOST_GROUPS = 2.0, 0.05, 50, 50_000
 METRICS = ("piece_chars", "byte_chars", "fallback", "entropy")
 SCHEMA = "doc_id long, lang string, script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, piece_chars double, byte_chars double, fallback double, entropy double"
 #: First code points of blocks, and the scripts of what follows them: fixed values.
@@ -187,7 +188,8 @@ def judge(docs: DataFrame, folder: str = TOKENIZERS, reach: float = REACH) -> Da
     for m in METRICS:
         q = F.col(f"_{m}")
         width = reach * F.greatest(q[2] - q[0], F.abs(q[1]) * LEAST, F.lit(0.01))
-        inside = inside & F.col(m).between(q[1] - width, q[1] + width)
+        # a text that fits a vocabulary better than most, or is less monotonous, is no worse for it
+        inside = inside & (F.col(m) <= q[1] + width if m == "fallback" else F.col(m) >= q[1] - width)
     joined = rows.join(small(bands, MOST_GROUPS), F.col("_group") == F.col("_band"), "left")
     fertile = F.col("_band").isNull() | inside
     return joined.withColumn("fertile", fertile).withColumn("kept", ~F.col("base_failed") & fertile).drop("_group", "_band", "_texts", *[f"_{m}" for m in METRICS])
