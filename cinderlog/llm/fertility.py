@@ -5,11 +5,13 @@ with a byte-level vocabulary; each distinct word of a batch is encoded once. Per
 gives characters per token (both), the share of byte-fallback tokens, and the entropy of its
 tokens relative to the most that so many tokens can have. A text is rejected if one of these lies
 outside the band of its group: language (script, where lang is null) and order of magnitude of
-tokens. Bands run from the median less a multiple of the interquartile range over all documents upward, for the
+tokens. Where fewer than ``MIN_GROUP`` texts that are not base_failed make up that group, the band is that of
+the first wider one with so many: the language's texts of 2, of 4 and of all orders of magnitude, the script's
+of this order and of all, and else all texts, however few. Bands run from the median less a multiple of the interquartile range over all documents upward, for the
 share of byte fallbacks from the median plus that multiple downward.
 
-Defined results: null or empty text counts 0 everywhere and is base_failed; a group of under
-``MIN_GROUP`` texts has no band and rejects nothing; equal rows get equal results; a null doc_id is
+Defined results: null or empty text counts 0 everywhere and is base_failed; where every text is
+base_failed there is no band and all are fertile; equal rows get equal results; a null doc_id is
 carried; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -22,10 +24,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderlog.llm.stages import small, stage
+from cinderlog.llm.stages import drop, small, stage
 from cinderlog.llm.words import pieces, scan, text_of, utf8, window_names
 
 TOKENIZERS = "/opt/tokenizers"
@@ -34,6 +36,7 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 #: A band ends so many interquartile ranges off the median, each at least LEAST of the median.
 REACH, LEAST, MIN_GROUP, MOST_GROUPS = 2.0, 0.05, 50, 50_000
+ALL = "all"
 METRICS = ("piece_chars", "byte_chars", "fallback", "entropy")
 SCHEMA = "doc_id long, lang string, script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, piece_chars double, byte_chars double, fallback double, entropy double"
 #: First code points of blocks, and the scripts of what follows them: fixed values.
@@ -175,21 +178,35 @@ def measure(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Recor
         )
 
 
+def groups() -> Column:
+    """Names of the groups of a measured text, narrowest first."""
+    octave = F.floor(F.log2(F.greatest("n_tokens", F.lit(1))))
+    who = F.coalesce(F.concat(F.lit("lang-"), F.col("lang")), F.concat(F.lit("script-"), F.col("script")))
+    sized = lambda of, width: F.concat(F.lit(f"{width}x"), F.floor(octave / width).cast("string"), F.lit(":"), of)
+    script = F.concat(F.lit("any-"), F.col("script"))
+    return F.array(sized(who, 1), sized(who, 2), sized(who, 4), who, sized(script, 1), script, F.lit(ALL))
+
+
 def judge(docs: DataFrame, folder: str = TOKENIZERS, reach: float = REACH) -> DataFrame:
     """Counts, measures, base_failed, fertile (within its bands) and kept of every document."""
     read = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
     measured = stage(read.mapInArrow(lambda b: measure(b, folder), SCHEMA))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    group = F.concat_ws(":", F.coalesce("lang", F.concat(F.lit("script-"), F.col("script"))), F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("string"))
-    rows = measured.withColumn("base_failed", failed).withColumn("_group", group)
-    bands = rows.where("NOT base_failed").groupBy(F.col("_group").alias("_band")).agg(F.count("*").alias("_texts"), *[F.percentile_approx(m, [0.25, 0.5, 0.75], 2000).alias(f"_{m}") for m in METRICS])
-    bands = stage(bands.where(F.col("_texts") >= MIN_GROUP))
+    rows = measured.withColumn("base_failed", failed).withColumn("_groups", groups())
+    each = rows.where("NOT base_failed").select(F.explode("_groups").alias("_band"), *METRICS)
+    bands = each.groupBy("_band").agg(F.count("*").alias("_texts"), *[F.percentile_approx(m, [0.25, 0.5, 0.75], 2000).alias(f"_{m}") for m in METRICS])
+    bands = stage(bands.where((F.col("_texts") >= MIN_GROUP) | (F.col("_band") == ALL)))
+    # one row for each list of groups: the band of the first that has one
+    lists = rows.select(F.col("_groups").alias("_of")).distinct().select("_of", F.posexplode("_of").alias("_nth", "_band"))
+    held = lists.join(small(bands, MOST_GROUPS), "_band").groupBy("_of").agg(*[F.min_by(f"_{m}", "_nth").alias(f"_{m}") for m in METRICS])
+    held = stage(held)
+    drop(bands)
     inside = F.lit(True)
     for m in METRICS:
         q = F.col(f"_{m}")
         width = reach * F.greatest(q[2] - q[0], F.abs(q[1]) * LEAST, F.lit(0.01))
         # a text that fits a vocabulary better than most, or is less monotonous, is no worse for it
         inside = inside & (F.col(m) <= q[1] + width if m == "fallback" else F.col(m) >= q[1] - width)
-    joined = rows.join(small(bands, MOST_GROUPS), F.col("_group") == F.col("_band"), "left")
-    fertile = F.col("_band").isNull() | inside
-    return joined.withColumn("fertile", fertile).withColumn("kept", ~F.col("base_failed") & fertile).drop("_group", "_band", "_texts", *[f"_{m}" for m in METRICS])
+    joined = rows.join(small(held, MOST_GROUPS), F.col("_groups") == F.col("_of"), "left")
+    fertile = F.col("_of").isNull() | inside
+    return joined.withColumn("fertile", fertile).withColumn("kept", ~F.col("base_failed") & fertile).drop("_groups", "_of", *[f"_{m}" for m in METRICS])

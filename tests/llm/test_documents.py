@@ -111,6 +111,20 @@ def test_fertility_bands_reject_what_does_not_fit(docs_of):
     assert rows[200]["fallback"] > 0.3 and not rows[200]["kept"]
 
 
+def test_small_groups_are_judged_by_wider_ones(spark, docs_of):
+    words = ["house", "water", "people", "small", "never", "under", "light", "stone", "green", "river", "table", "music"]
+    good = ["the quick brown fox jumps over the lazy dog and " + " ".join(random.Random(i).choices(words, k=30)) for i in range(60)]
+    odd = "\u0f00\u0f01\u0f02\u0e5b\u0e5a\u1369\u136a"
+    bad = " ".join("".join(random.Random(i).choices(odd, k=4)) for i in range(40)) + " a b c"
+    # a language of one text, a script of one text, and tables too small for any group of MIN_GROUP texts
+    for n in (60, 12):
+        docs = docs_of([*good[:n], bad, bad, good[0]])
+        rare = docs.withColumn("lang", F.when(F.col("doc_id") == n, "xx").when(F.col("doc_id") == n + 2, "yy").when(F.col("doc_id") < n, "en"))
+        rows = {r["doc_id"]: r for r in fertility.judge(rare).collect()}
+        assert not rows[n]["base_failed"] and not rows[n]["kept"] and not rows[n + 1]["kept"]
+        assert sum(rows[i]["kept"] for i in range(n)) >= n - 2 and rows[n + 2]["kept"]
+
+
 # classifier and languages
 
 
