@@ -13,9 +13,11 @@ are not compared with each other, but with a centre: the pivot, or, in groups of
 and more, the shingles that most of a sample of the group has. With A(x) for the shingles of x that the
 centre lacks, R(x) for the centre's that x lacks, and D(x) for both, two texts differ in
 |D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles. First each text is compared, by D, with the text m of
-least D. That and the following lose no link: a text too far from m can only be close to a y with
-which it shares a part of D(y), whose least size follows from the sizes of D; and if it shares
-nothing of A(y), that much of R(y). Such pairs are found by equal elements among the first ones of both
+most room: a pair of |x| + |y| shingles may differ in p (|x| + |y|) of them, and the room of x is
+p |x| - |D(x)|. That and the following lose no link: two texts that share nothing of D are linked only
+if their rooms add up to 0 or more, and then each is linked with m, whose room is no less. So a text too
+far from m can only be close to a y with which it shares a part of D(y), whose least size follows from
+the sizes of D; and if it shares nothing of A(y), that much of R(y). Such pairs are found by equal elements among the first ones of both
 sides (prefix filtering), if the two are not in one component yet, and verified. Every link is
 verified on whole multisets: overlap at least ``SIMILAR`` of the union. Components are found in Spark.
 
@@ -178,15 +180,16 @@ def centred(found: DataFrame, crowd: int, sample: int) -> DataFrame:
 def against_middles(found: DataFrame, similar: float) -> DataFrame:
     """Of centred differences: the middle m of each group, linked to it or not, and the elements to ask for partners by and to answer by.
 
-    Let T(x, y) be the most that linked texts of these sizes differ by, and d = |D|. A pair shares at
-    least (d(x) + d(y) - T(x, y)) / 2 elements; for whatever partner that is at least d(x) - T(x, .);
+    Let T(x, y) be the most that linked texts of these sizes differ by, and d = |D|; m has the least d less
+    its part of T. A pair shares at least (d(x) + d(y) - T(x, y)) / 2 elements, which for a text not linked to m
+    is above 0, as it was with m, so 1 at least; for whatever partner that is at least d(x) - T(x, .);
     and as d(s) + d(m) > T(s, m) for a text s not linked to m, what answers it shares at least
     (d(y) + 1 - d(m) - [T(s, y) - T(s, m)]) / 2. Of k elements of which t are shared, the first k - t + 1 in
     a fixed order hold the first shared one.
     """
     part = far_apart(similar)
     d = F.size("more") + F.size("less")
-    least = found.groupBy("a").agg(F.min(F.struct(d.alias("d"), F.col("b"))).alias("least")).select("a", F.col("least.b").alias("m"), F.col("least.d").alias("dm"))
+    least = found.groupBy("a").agg(F.min(F.struct((d - F.col("n") * part).alias("over"), F.col("b"), d.alias("d"))).alias("least")).select("a", F.col("least.b").alias("m"), F.col("least.d").alias("dm"))
     middles = found.join(least, "a").where("b = m").select("a", "m", "dm", F.col("n").alias("nm"), F.col("more").alias("more_m"), F.col("less").alias("less_m"))
     rows = found.join(middles, "a")
     apart = lambda x, y: F.size(F.array_except(x, y)) + F.size(F.array_except(y, x))

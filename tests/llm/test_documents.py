@@ -232,6 +232,16 @@ def test_classes_equal_brute_force(docs_of):
     assert got == _classes(rows)
 
 
+@pytest.mark.parametrize("cut_id", [999, 2000])
+def test_copies_of_an_absent_text_are_linked(docs_of, cut_id):
+    # copies have own words at their end, so that they share no difference from the text that most of them hold, and
+    # the copy nearest to it is too short to be linked to any
+    base = _words(184, 8, 10_000)
+    rows = [(1000 + i, " ".join(base + [f"own{i}x{k}" for k in range(21)])) for i in range(24)] + [(cut_id, " ".join(base[:-20]))]
+    got = {r["doc_id"]: r["class_id"] for r in bagminhash.near_duplicates(docs_of(rows)).collect()}
+    assert got == _classes(rows) and set(got.values()) == {1000, cut_id}
+
+
 def test_near_duplicates_of_odd_rows(odd):
     rows = bagminhash.near_duplicates(odd).collect()
     classes = {r["doc_id"]: r["class_id"] for r in rows}
