@@ -3,7 +3,9 @@
 The graph's edges are absolute links between hosts, counted per pair before any shuffle of rows,
 and the two directions between a host and its parent domain. Personalised PageRank starts from
 hosts with pages that a rule allows (trust, along edges) and from hosts with pages that a rule
-blocks (distrust, against edges); a host whose distrust exceeds its trust is blocked.
+blocks (distrust, against edges); a host whose distrust exceeds its trust by more than TIE of it is
+blocked. Scores shrink with the number of pages, so they are compared as they are; the SQL rounds them to
+DIGITS places first, which from some hundred thousand pages on can let hosts of few shares through.
 
 Defined results: a null url, or one without ``://``, has empty host and path, no rule, and is allowed;
 null html has no links; equal rows are judged alike; no page, no rows; extra columns are ignored.
@@ -24,6 +26,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOST, PATH = r"(?s)^.*?://([^/?#]*)", r"(?s)^.*?://[^/?#]*([^?#]*)"
 LINK = r"""(?i)href\s*=\s*["']?\s*[a-z][a-z0-9+.\-]*://([^/?#"'\s<>]+)"""
 ROUNDS, DAMPING, DIGITS = 8, 0.85, 9
+#: Sums of equal parts in another order differ by less than this part of them.
+TIE = 1e-9
 #: Host scores are broadcast up to this many hosts; beyond, the join is shuffled and skew is split.
 MOST_HOSTS = 20_000
 
@@ -83,10 +87,10 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, round
     forward = pairs.join(out, F.col("src") == F.col("end")).select(F.lit("trust").alias("edge_kind"), "src", "dst", (F.col("weight") / F.col("all")).alias("share"))
     back = pairs.join(into, F.col("dst") == F.col("end")).select(F.lit("distrust").alias("edge_kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("weight") / F.col("all")).alias("share"))
     scores = propagate(stage(seeds), stage(forward.union(back)), rounds)
-    per_host = stage(scores.groupBy(F.col("node").alias("_host")).agg(*[F.round(F.sum(F.when(F.col("kind") == k, F.col("x")).otherwise(0.0)), DIGITS).alias(k) for k in ("trust", "distrust")]))
+    per_host = stage(scores.groupBy(F.col("node").alias("_host")).agg(*[F.sum(F.when(F.col("kind") == k, F.col("x")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")]))
     trust, distrust = (F.coalesce(F.col(k), F.lit(0.0)) for k in ("trust", "distrust"))
     return ruled.join(small(per_host, MOST_HOSTS), F.col("host") == F.col("_host"), "left").select(
-        "page_id", "host", "path", F.col("first.rule").alias("rule"), F.coalesce(F.col("first.verdict"), F.when(distrust > trust, "block").otherwise("allow")).alias("verdict"), trust.alias("trust"), distrust.alias("distrust")
+        "page_id", "host", "path", F.col("first.rule").alias("rule"), F.coalesce(F.col("first.verdict"), F.when(distrust > trust * (1 + TIE), "block").otherwise("allow")).alias("verdict"), trust.alias("trust"), distrust.alias("distrust")
     )
 
 

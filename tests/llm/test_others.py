@@ -42,6 +42,15 @@ def test_trust_follows_links_and_distrust_goes_back(spark):
     assert got[3]["distrust"] > 0 and got[3]["verdict"] == "block" and got[4]["verdict"] == "allow"
 
 
+def test_verdicts_do_not_depend_on_the_number_of_other_pages(spark):
+    rows = [(i, f"http://linker{i}.org/", '<a href="http://bad.net/es/y">', "h", "v") for i in range(1000)] + [(1000, "http://bad.net/es/x", None, "h", "v")]
+    pages = spark.createDataFrame(rows, PAGES)
+    others = spark.range(2000, 402_000).selectExpr("id", "'http://other.org/a'", "cast(null as string)", "'h'", "'v'")
+    for table in (pages, pages.union(others)):
+        got = url_filter.judge(table).where("page_id < 2000 or page_id = 2000").groupBy("host", "verdict").count().collect()
+        assert {r["verdict"] for r in got if r["host"].startswith("linker")} == {"block"} and all(r["verdict"] == "allow" for r in got if r["host"] == "other.org")
+
+
 def test_no_pages(spark):
     assert url_filter.judge(spark.createDataFrame([], PAGES)).count() == 0
 
