@@ -207,11 +207,12 @@ def against_middles(found: DataFrame, similar: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class), copy_of (the least doc_id of equal multiset); one row per document."""
+    """doc_id, class_id (the least doc_id of its class), copy_of (the least doc_id of equal multiset); one row per document, and per row of null doc_id"""
     spark = docs.sparkSession
     read = docs.select(F.col("doc_id").cast("long"), "text")
     signed = stage(read.mapInArrow(sign, "doc_id long, n long, h1 long, h2 long, bands array<long>"))
     known = signed.where("doc_id IS NOT NULL")
+    nameless = stage(signed.where("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of")))
     first = known.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("copy_of"))
     copies = stage(known.join(first, ["h1", "h2", "n"], "left").groupBy("doc_id").agg(F.coalesce(F.min("copy_of"), F.col("doc_id")).alias("copy_of")))
 
@@ -257,8 +258,8 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     drop(buckets, sets, tried, links)
 
     classed = copies.join(labels.select(F.col("node").alias("copy_of"), "label"), "copy_of", "left").select("doc_id", F.coalesce("label", "copy_of").alias("class_id"), "copy_of")
-    out = stage(classed)
-    drop(copies, labels)
+    out = stage(classed.union(nameless))
+    drop(copies, labels, nameless)
     release_shuffles(spark)
     return out
 

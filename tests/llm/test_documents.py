@@ -251,6 +251,11 @@ def test_near_duplicates_of_odd_rows(odd):
     assert bagminhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_rows_of_null_id_are_classes_of_null(odd):
+    rows = bagminhash.near_duplicates(odd).where("doc_id IS NULL").collect()
+    assert [(r["class_id"], r["copy_of"]) for r in rows] == [(None, None)] * 2
+
+
 # secrets
 
 
