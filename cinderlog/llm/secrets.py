@@ -1,10 +1,12 @@
 r"""Secret scans: candidates by one pattern, false positives removed by a random forest.
 
-A candidate is a run of 16 or more letters, digits, ``_ + / = -`` with a digit in it. The forest sees its
+A candidate is a run of 16 or more letters, digits, ``_ + / -`` with a digit in it, and up to two ``=``
+that end it; any other ``=`` parts a name from its value. The forest sees its
 length, its character classes and transitions, the part covered by dictionary words, the path of its
-document, and the neighbouring words (up to CONTEXT characters on either side, no further than the
-next candidate). It is trained here on labelled findings: known shapes of credentials in the places
-where they leak, and look-alikes (digests, ids, paths, identifiers, placeholders) in theirs. Training
+document, and the neighbouring words (up to CONTEXT characters on either side, the candidate before
+among them, no further than the next). It is trained here on labelled findings: known shapes of credentials in the places
+where they leak, and look-alikes (digests, ids, paths, identifiers, placeholders) in theirs, cut by the
+pattern of the scan. Training
 data are some hundred made-up rows of fixed number; the trees become one SQL expression, so scanning
 runs wholly in the JVM.
 
@@ -16,6 +18,7 @@ through ``redact`` untouched (n_chars is counted anew if there).
 from __future__ import annotations
 
 import random
+import re
 import string
 from functools import lru_cache
 
@@ -23,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/=\-])(?=[A-Za-z_+/=\-]*[0-9])[A-Za-z0-9_+/=\-]{16,}+"
+CANDIDATE = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*[0-9])[A-Za-z0-9_+/\-]{16,}+(?:={1,2}(?![A-Za-z0-9_+/=\-]))?"
 CONTEXT, THRESHOLD, MASK = 60, 0.5, "[SECRET]"
 TREES, DEPTH, LEAF, ROWS, SEED = 25, 6, 4, 60, 11
 
@@ -101,7 +104,16 @@ def labelled_findings(seed: int = SEED) -> list[tuple[str, str, str, str, int]]:
             (f"{prose()} {rng.choice(names)} ", f"{word()}{word().title()}{word().title()}{rng.randint(1, 9)}", f"() {prose()}"), (f"{prose()} ", "=" * rng.randint(16, 40) + "1", f" {prose()}"), (f"{prose()} ", "-" * rng.randint(16, 60) + str(rng.randint(1, 9)), f"\n{prose()}"),
         ]
         out += [(*x, path(), 0) for x in look_alikes]
-    return [r for r in out if len(r[1]) >= 16]
+    return [(*cut, *r[3:]) for r in out if (cut := as_cut(*r[:3]))]
+
+
+def as_cut(before: str, finding: str, after: str) -> tuple[str, str, str] | None:
+    """The first candidate that the scan finds within a finding, with what is around it."""
+    text, end = before + finding + after, len(before) + len(finding)
+    for m in re.finditer(CANDIDATE, text):
+        if m.start() < end and m.end() > len(before):
+            return text[: m.start()], m.group(), text[m.end() :]
+    return None
 
 
 def grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int = DEPTH) -> tuple | float:
@@ -166,8 +178,8 @@ def _scored(docs: DataFrame, path: str | None, keep: list[str]) -> DataFrame:
     mean = "(" + " + ".join(as_sql(t, names) for t in trees) + f") / {len(trees)}D"
     cut = docs.select(*[docs[c] for c in keep], F.regexp_extract_all(F.col("text"), F.lit(CANDIDATE), F.lit(0)).alias("_cands"), F.col("text").alias("_text"), (F.col(path).cast("string") if path else F.lit("")).alias("_path"))
     cut = cut.withColumn("_seps", F.when(F.size("_cands") > 0, F.split("_text", CANDIDATE, -1)))
-    x = features_sql("z._cands", f"substr(z._seps, {-CONTEXT})", f"substr(z.n, 1, {CONTEXT})", "_path")
-    zipped = "transform(sequence(0, size(_cands) - 1), i -> named_struct('_seps', _seps[i], '_cands', _cands[i], 'n', _seps[i + 1]))"
+    x = features_sql("z._cands", f"substr(concat(z.p, z._seps), {-CONTEXT})", f"substr(z.n, 1, {CONTEXT})", "_path")
+    zipped = "transform(sequence(0, size(_cands) - 1), i -> named_struct('p', if(i > 0, get(_cands, i - 1), ''), '_seps', _seps[i], '_cands', _cands[i], 'n', _seps[i + 1]))"
     parts = f"transform({zipped}, z -> named_struct('sep', z._seps, 'cand', z._cands, 'score', transform(array({x}), x -> {mean})[0]))"
     return cut.withColumn("_parts", F.expr(f"CASE WHEN size(_cands) > 0 THEN {parts} END"))
 

@@ -281,6 +281,14 @@ def test_secrets_found_and_look_alikes_left(spark, docs_of):
     assert all(clean[i]["text"] == texts[i] for i in (1, 2, 4, 5, 6, 7)) and secrets.redact(docs).columns == docs.columns
 
 
+def test_unquoted_values_after_names_are_found(docs_of):
+    value = "hunter2aA9xKq81Zmw0PQ7dTe4Rb"
+    texts = [f"API_KEY={value}", f"run with token={value} set", f"GET http://h.example/x?access_token={value}&page=2", f"AWS_S3_SECRET_ACCESS_KEY={value}\nDEBUG=1", f"password={value}=="]
+    found = {r["doc_id"]: r["secret"] for r in secrets.scan(docs_of(texts)).collect()}
+    assert found == dict.fromkeys(range(4), value) | {4: value + "=="}
+    assert secrets.redact(docs_of(texts[:1])).first()["text"] == "API_KEY=[SECRET]"
+
+
 def test_forest_in_sql_equals_its_trees(spark):
     trees, names = secrets.forest(spark), list(secrets.FEATURES)
     rows = spark.createDataFrame(secrets.labelled_findings(seed=99), "b string, t string, a string, p string, y int").withColumn("x", F.expr(secrets.features_sql("t", "b", "a", "p")))
