@@ -6,13 +6,14 @@ themselves, so this equals ``[^\\x20\\x09-\\x0D]+`` over code points.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+from cinderlog.llm.stages import give_back
 
 WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 500_000
@@ -65,11 +66,9 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def give_back() -> None:
-    """Return freed memory to the system: a reused worker would hold its peak for the next task's neighbours to miss."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
+def text_bounds(column: pa.Array) -> np.ndarray:
+    """Where each text of a string column begins, and the last ends; null is empty."""
+    return np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(column).fill_null(0), np.int64))])
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
@@ -77,7 +76,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, bounds = utf8(batch.column(text))
+        bounds = text_bounds(batch.column(text))
         at = 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + CHUNK_BYTES, "right")) - 1)
