@@ -1,11 +1,13 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
-Documents longer than the largest capacity are cut into pieces of it. Pieces are dealt by scan
-position into shards of a bounded number of pieces, so no task holds more than a shard whatever
-the input's size or keys. Within a shard, pieces go in descending size to the open bin with the
-least room that still fits; if none does, the bin of least cost per expected token is opened,
-over all permitted lengths jointly; at the end each bin is downsized to the least permitted
-length that holds its contents.
+Documents longer than the largest capacity are cut into pieces of it; each of these full pieces fills
+a bin of its own. What is left, one piece a document at most, is dealt by a hash of id, size and
+number (among rows of equal id and size) into shards of about SHARD_DOCS pieces, so no task holds
+more whatever the input's size or keys, and the result is the same for every layout of the table.
+Within a shard, pieces go in descending size to the open bin with the least room that still fits; if
+none does, the bin of least cost per expected token is opened, over all permitted lengths jointly; at
+the end each bin is downsized to the least permitted length that holds its contents. Sizes are words,
+or what a caller's ``size`` column counts (tokens, say).
 
 Defined results: an empty or null text has one piece of size 0 and no bin (null bin_id, bin_length,
 bin_offset); equal rows are packed separately; an empty table gives an empty result; null doc_ids
@@ -19,15 +21,16 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinderlog.llm.mixing import word_count
+from cinderlog.llm.stages import stage
 
 LENGTHS = (512, 1024, 2048, 4096)
-#: Documents dealt to a shard, about; a shard's packing is one task's work.
-SHARD_DOCS = 20_000
-SCHEMA = "doc_id long, piece int, piece_size long, bin_id long, bin_length long, bin_offset long"
+#: Pieces dealt to a shard, about; a shard's packing is one task's work. Rows of equal id and size are dealt in ranges of BLOCK.
+SHARD_DOCS, BLOCK = 20_000, 256
+SCHEMA = "doc_id long, piece int, piece_size long, bin_id string, bin_length long, bin_offset long"
 
 
 def cost(length: int, longest: int) -> float:
@@ -65,26 +68,32 @@ def best_fit(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS) -> tuple[np
     return bins, offsets, final
 
 
-def pack(docs: DataFrame, lengths: Sequence[int] = LENGTHS, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """One row per piece of a document: doc_id, piece, piece_size, bin_id, bin_length, bin_offset (in words)."""
+def pack(docs: DataFrame, lengths: Sequence[int] = LENGTHS, shard_docs: int = SHARD_DOCS, size: Column | None = None) -> DataFrame:
+    """One row per piece of a document: doc_id, piece, piece_size, bin_id, bin_length, bin_offset, in words or in the unit of ``size``."""
     longest = max(lengths)
-    shards = max(1, -(-docs.count() // shard_docs))
-    pieces = (
-        docs.select("doc_id", word_count(F.col("text")).alias("_n"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).alias("_shard"))
-        .withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("_n") / longest).cast("int") - 1, F.lit(0)))))
-        .select("doc_id", "piece", F.least(F.col("_n") - F.col("piece").cast("long") * longest, F.lit(longest)).alias("piece_size"), "_shard")
-    )
+    n, k = F.col("n"), F.col("k")
+    size = word_count(F.col("text")) if size is None else F.coalesce(size.cast("long"), F.lit(0))
+    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("n")).groupBy("doc_id", "n").agg(F.count("*").alias("c"))
+    # rows of equal id and size are told apart by number only, and travel as ranges of up to BLOCK numbers
+    blocks = counted.select("doc_id", "n", "c", F.explode(F.sequence(F.lit(0), F.floor((F.col("c") - 1) / BLOCK))).alias("b"))
+    blocks = stage(blocks.select("doc_id", "n", (F.col("b") * BLOCK).alias("at"), F.least(F.lit(BLOCK), F.col("c") - F.col("b") * BLOCK).alias("k")))
+    each = lambda df: df.select("doc_id", "n", F.explode(F.sequence(F.col("at"), F.col("at") + k - 1)).alias("nth"))
+    none = F.lit(None).cast("long")
+    empty = each(blocks.where(n == 0)).select("doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("piece_size"), F.lit(None).cast("string").alias("bin_id"), none.alias("bin_length"), none.alias("bin_offset"))
+    whole = each(blocks.where(n >= longest)).select("doc_id", "n", "nth", F.explode(F.sequence(F.lit(0), (F.floor(n / longest) - 1).cast("int"))).alias("piece"))
+    own = F.concat_ws("-", F.lit("own"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), n.cast("string"), F.col("nth").cast("string"), F.col("piece").cast("string"))
+    whole = whole.select("doc_id", "piece", F.lit(longest).cast("long").alias("piece_size"), own.alias("bin_id"), F.lit(longest).cast("long").alias("bin_length"), F.lit(0).cast("long").alias("bin_offset"))
+    rest = blocks.where(n % longest > 0)
+    shards = max(1, -(-(rest.agg(F.sum("k")).first()[0] or 0) // shard_docs))
+    dealt = rest.select("doc_id", F.floor(n / longest).cast("int").alias("piece"), (n % longest).alias("piece_size"), "n", "at", "k", F.pmod(F.xxhash64("doc_id", "n", "at"), F.lit(shards)).alias("shard"))
 
     def one(shard: pd.DataFrame) -> pd.DataFrame:
         # the order in which rows arrive must not matter
-        shard = shard.sort_values(["piece_size", "doc_id", "piece"], kind="stable", ignore_index=True)
-        out = shard[["doc_id", "piece", "piece_size"]].copy()
-        full = (out.piece_size > 0).to_numpy()
-        bins, offsets, final = best_fit(out.piece_size[full].to_numpy(), lengths)
-        out["bin_id"], out["bin_length"], out["bin_offset"] = (pd.array([pd.NA] * len(out), "Int64") for _ in range(3))
-        out.loc[full, "bin_id"] = (int(shard["_shard"].iloc[0]) << 32) + bins if len(shard) else []
-        out.loc[full, "bin_length"] = final[bins]
-        out.loc[full, "bin_offset"] = offsets
+        shard = shard.sort_values(["piece_size", "doc_id", "n", "at"], kind="stable", ignore_index=True)
+        out = shard.loc[shard.index.repeat(shard["k"]), ["doc_id", "piece", "piece_size"]].reset_index(drop=True)
+        bins, offsets, final = best_fit(out["piece_size"].to_numpy(), lengths)
+        out["bin_id"] = [f"{shard['shard'].iloc[0]}-{b}" for b in bins.tolist()]
+        out["bin_length"], out["bin_offset"] = final[bins], offsets
         return out.astype({"doc_id": "Int64"})
 
-    return pieces.groupBy("_shard").applyInPandas(one, SCHEMA)
+    return dealt.groupBy("shard").applyInPandas(one, SCHEMA).union(whole).union(empty)
