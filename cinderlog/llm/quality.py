@@ -1,7 +1,7 @@
 """Quality classifier: random-indexing word vectors, pooled per document, into a small network.
 
 A word stands for three features, each hashed to one of ``BUCKETS``: its letters in lower case, the
-marks around them, and its shape. Every bucket has a fixed sparse random index vector; its
+marks around them, and its shape (letter case, and length by powers of two). Every bucket has a fixed sparse random index vector; its
 context vector sums the index vectors of the words up to ``REACH`` away (random indexing). A
 document is the mean and the standard deviation of its words' context vectors, the shares of words
 that equal the one or two before, the mean product of neighbours' vectors, and the logarithm of its
@@ -29,9 +29,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from cinderlog.llm.sampling import draw, held_out, learnable
-from cinderlog.llm.stages import drop, stage
+from cinderlog.llm.stages import bounded_batches, drop, fresh, stage
 from cinderlog.llm.words import Words, pieces, scan, text_of, utf8
 
 BUCKETS, DIM, REACH, NONZERO, SEED = 1 << 14, 48, 2, 4, 77
@@ -52,7 +53,7 @@ def word_features(word: bytes) -> tuple[int, int, int]:
     core = b"".join(_letters.findall(word))
     marks = _letters.sub(b"", word)
     shape = b"0" if not core else b"x" if core.islower() else b"X" if core.isupper() and len(core) > 1 else b"Xx" if core[:1].isupper() else b"xX"
-    return _bucket(1, core.lower()[:64]), _bucket(2, marks[:8]), _bucket(3, shape + bytes([min(len(word), 20)]))
+    return _bucket(1, core.lower()), _bucket(2, marks), _bucket(3, shape + b"%d" % len(word).bit_length())
 
 
 def featured(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -192,22 +193,30 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(vectors).fit(x.astype(np.float64), np.asarray([r["y"] for r in found], np.float64))
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (with ``text`` read for the score) and _score."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    fields = [f for f in docs.schema.fields if f.name in keep]
+def score(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
+    """The columns ``keep`` of ``docs`` (with ``text`` read for the score) and the score as ``name``, which must be none of them."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    bounded_batches(docs.sparkSession)
+    fields = [docs.schema[c] for c in keep]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in pieces(batches):
-            scores = shared.value.scores(pooled(scan(*utf8(batch.column("text"))), shared.value.vectors))
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(np.asarray(scores, np.float64))], [*(f.name for f in fields), "_score"])
+            scores = model.scores(pooled(scan(*utf8(batch.column("text"))), model.vectors))
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(np.asarray(scores, np.float64))], [*(f.name for f in fields), name])
 
-    read = docs.select(*dict.fromkeys([*(f.name for f in fields), "text"]))
-    return read.mapInArrow(each, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "_score double"]))
+    read = docs.select(*[docs[f"`{c}`"] for c in dict.fromkeys([*keep, "text"])])
+    return read.mapInArrow(each, StructType([*fields, StructField(name, DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     found = score(docs, train(docs, labels, sample), ["doc_id"])
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs``, all columns whatever their names, that the classifier does not reject."""
+    name = fresh(docs, "score")
+    found = score(docs, train(docs, labels, sample), docs.columns, name)
+    return found.where(F.col(f"`{name}`") >= THRESHOLD).drop(name)
