@@ -7,8 +7,10 @@ tokens relative to the most that so many tokens can have. A text is rejected if
 outside the band of its group: language (script, where lang is null) and order of magnitude of
 tokens. Where fewer than ``MIN_GROUP`` texts that are not base_failed make up that group, the band is that of
 the first wider one with so many: the language's texts of 2, of 4 and of all orders of magnitude, the script's
-of this order and of all, and else all texts, however few. Bands run from the median less a multiple of the interquartile range over all documents upward, for the
-share of byte fallbacks from the median plus that multiple downward.
+of this order and of all, and else all texts, however few. A band has two ends, LOW interquartile ranges
+below the median and HIGH above (clean text strays more upward, by long words and rich vocabulary); only the
+share of byte fallbacks has no lower end, as none is what a vocabulary is for. Quartiles are exact ranks of
+measures in steps of 1/STEP, counted over all documents: the same for every layout and order of the table.
 
 Defined results: null or empty text counts 0 everywhere and is base_failed; where every text is
 base_failed there is no band and all are fertile; equal rows get equal results; a null doc_id is
@@ -24,10 +26,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinderlog.llm.stages import drop, small, stage
+from cinderlog.llm.stages import bounded_batches, drop, small, stage
 from cinderlog.llm.words import pieces, scan, text_of, utf8, window_names
 
 TOKENIZERS = "/opt/tokenizers"
@@ -35,15 +37,13 @@ PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 #: A band ends so many interquartile ranges off the median, each at least LEAST of the median.
-REACH, LEAST, MIN_GROUP, MOST_GROUPS = 2.0, 0.05, 50, 50_000
+LOW, HIGH, LEAST, MIN_GROUP, MOST_GROUPS, STEP = 2.0, 4.0, 0.05, 50, 50_000, 1024
 ALL = "all"
 METRICS = ("piece_chars", "byte_chars", "fallback", "entropy")
 SCHEMA = "doc_id long, lang string, script string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, piece_chars double, byte_chars double, fallback double, entropy double"
 #: First code points of blocks, and the scripts of what follows them: fixed values.
 SCRIPTS = ((0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "other"), (0x590, "hebrew"), (0x600, "arabic"), (0x780, "other"), (0x900, "indic"), (0xE00, "thai"), (0xE80, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"))
 KEPT_WORDS = 400_000
-#: Longer words are encoded in pieces of so many code points, as merging takes time with the square of a word.
-LONGEST = 256
 
 _is_symbol = np.zeros(256, bool)
 _is_symbol[list(SYMBOLS)] = True
@@ -71,13 +71,8 @@ class Encoder:
         new = [i for i, name in enumerate(names) if name not in self.kept]
         if new:
             texts = [words[i].decode("utf-8", "replace") for i in new]
-            cut = [x[:LONGEST] for x in texts]
-            for i, ids, text, whole in zip(new, self.piece.encode(cut, num_threads=1), cut, texts, strict=True):
-                n = len(self.byte.encode_ordinary(" " + text))
-                for k in range(LONGEST, len(whole), LONGEST):
-                    ids = ids + self.piece.encode(whole[k : k + LONGEST])
-                    n += len(self.byte.encode_ordinary(whole[k : k + LONGEST]))
-                self.kept[names[i]] = ids, n
+            for i, ids, text in zip(new, self.piece.encode(texts, num_threads=1), texts, strict=True):
+                self.kept[names[i]] = ids, len(self.byte.encode_ordinary(" " + text))
         found = [self.kept[name] for name in names]
         counts = np.fromiter((len(x[0]) for x in found), np.int64, len(found))
         ids = np.fromiter(chain.from_iterable(x[0] for x in found), np.int64, int(counts.sum()))
@@ -187,26 +182,40 @@ def groups() -> Column:
     return F.array(sized(who, 1), sized(who, 2), sized(who, 4), who, sized(script, 1), script, F.lit(ALL))
 
 
-def judge(docs: DataFrame, folder: str = TOKENIZERS, reach: float = REACH) -> DataFrame:
+def quartiles(rows: DataFrame) -> DataFrame:
+    """Rows (band, METRICS) to one row a band: texts, and of each metric the array of its three quartiles, in steps of 1/STEP."""
+    steps = F.array(*[F.struct(F.lit(i).alias("metric"), F.floor(F.col(m) * STEP).cast("long").alias("step")) for i, m in enumerate(METRICS)])
+    counts = rows.select("band", F.explode(steps).alias("x")).groupBy("band", "x.metric", "x.step").agg(F.count("*").alias("n"))
+    # windows run over one row a step, not a text
+    of = Window.partitionBy("band", "metric")
+    upto = of.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("texts", F.sum("n").over(of))
+    at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("texts") * q), F.col("step"))) / F.lit(float(STEP))
+    each = ranked.groupBy("band", "metric").agg(F.max("texts").alias("texts"), F.array(at(0.25), at(0.5), at(0.75)).alias("q"))
+    return each.groupBy("band").agg(F.max("texts").alias("texts"), *[F.max(F.when(F.col("metric") == i, F.col("q"))).alias(f"q_{m}") for i, m in enumerate(METRICS)])
+
+
+def judge(docs: DataFrame, folder: str = TOKENIZERS, low: float = LOW, high: float = HIGH) -> DataFrame:
     """Counts, measures, base_failed, fertile (within its bands) and kept of every document."""
+    bounded_batches(docs.sparkSession)
     read = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
     measured = stage(read.mapInArrow(lambda b: measure(b, folder), SCHEMA))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    rows = measured.withColumn("base_failed", failed).withColumn("_groups", groups())
-    each = rows.where("NOT base_failed").select(F.explode("_groups").alias("_band"), *METRICS)
-    bands = each.groupBy("_band").agg(F.count("*").alias("_texts"), *[F.percentile_approx(m, [0.25, 0.5, 0.75], 2000).alias(f"_{m}") for m in METRICS])
-    bands = stage(bands.where((F.col("_texts") >= MIN_GROUP) | (F.col("_band") == ALL)))
+    rows = measured.withColumn("base_failed", failed).withColumn("of", groups())
+    bands = quartiles(rows.where("NOT base_failed").select(F.explode("of").alias("band"), *METRICS))
+    bands = stage(bands.where((F.col("texts") >= MIN_GROUP) | (F.col("band") == ALL)))
     # one row for each list of groups: the band of the first that has one
-    lists = rows.select(F.col("_groups").alias("_of")).distinct().select("_of", F.posexplode("_of").alias("_nth", "_band"))
-    held = lists.join(small(bands, MOST_GROUPS), "_band").groupBy("_of").agg(*[F.min_by(f"_{m}", "_nth").alias(f"_{m}") for m in METRICS])
-    held = stage(held)
+    lists = rows.select("of").distinct().select("of", F.posexplode("of").alias("nth", "band"))
+    held = lists.join(small(bands, MOST_GROUPS), "band").groupBy("of").agg(*[F.min_by(f"q_{m}", "nth").alias(f"q_{m}") for m in METRICS])
+    held = stage(held.withColumnRenamed("of", "key"))
     drop(bands)
     inside = F.lit(True)
     for m in METRICS:
-        q = F.col(f"_{m}")
-        width = reach * F.greatest(q[2] - q[0], F.abs(q[1]) * LEAST, F.lit(0.01))
-        # a text that fits a vocabulary better than most, or is less monotonous, is no worse for it
-        inside = inside & (F.col(m) <= q[1] + width if m == "fallback" else F.col(m) >= q[1] - width)
-    joined = rows.join(small(held, MOST_GROUPS), F.col("_groups") == F.col("_of"), "left")
-    fertile = F.col("_of").isNull() | inside
-    return joined.withColumn("fertile", fertile).withColumn("kept", ~F.col("base_failed") & fertile).drop("_groups", "_of", *[f"_{m}" for m in METRICS])
+        q = F.col(f"q_{m}")
+        width = F.greatest(q[2] - q[0], F.abs(q[1]) * LEAST, F.lit(0.01))
+        inside = inside & (F.col(m) <= q[1] + high * width)
+        if m != "fallback":
+            inside = inside & (F.col(m) >= q[1] - low * width)
+    joined = rows.join(small(held, MOST_GROUPS), F.col("of") == F.col("key"), "left")
+    fertile = F.col("key").isNull() | inside
+    return joined.withColumn("fertile", fertile).withColumn("kept", ~F.col("base_failed") & fertile).drop("of", "key", *[f"q_{m}" for m in METRICS])
