@@ -1,12 +1,12 @@
 """Language identification by hyperdimensional profiles.
 
-Each letter has a random vector of +1 and -1. An n-gram is bound as the product of its letters'
+Each letter (a code point, lower-cased) has a random vector of +1 and -1, drawn from a seed and its
+number, so every script has as many symbols as letters. An n-gram is bound as the product of its letters'
 vectors, each permuted (rolled) by its place; a text is the bundle (sum) of its n-grams' vectors,
 a language the bundle of its training texts, and a text's language is the prototype of largest
-cosine. Counting n-grams first turns bundling into a product of matrices.
+cosine. Counting n-grams first turns bundling into products of matrices, in blocks of BLOCK n-grams.
 
-Letters are lower-cased; all else is one separator; ASCII letters have a symbol of their own and
-other letters share the remaining symbols by code point. Training takes at most about
+Letters and the marks that combine with them make words; all else is one separator. Training takes at most about
 ``PER_LANGUAGE`` texts of each language, drawn by a hash of the id, from documents whose fold is
 learnable and whose lang is known; prototypes (one vector a language) are all that reaches the
 driver.
@@ -18,6 +18,7 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,65 +28,90 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinderlog.llm.sampling import draw, held_out, learnable
-from cinderlog.llm.stages import drop, small, stage
+from cinderlog.llm.stages import bounded_batches, drop, small, stage
 from cinderlog.llm.words import pieces, utf8
 
-WIDTH, SYMBOLS, DIM, SEED, UNKNOWN = 3, 64, 1024, 20240, "und"
-PER_LANGUAGE, PARTS, ROWS = 2_000, 16, 512
+WIDTH, DIM, SEED, UNKNOWN = 3, 1024, 20240, "und"
+PER_LANGUAGE, PARTS, ROWS, BLOCK = 2_000, 16, 512, 8_192
+#: n-grams of so many codes are numbered by a table, others by a sort.
+TABLE = 1 << 20
+#: Letters' vectors that a worker remembers.
+KEPT = 20_000
 
-_symbol: list[np.ndarray] = []
+_folded: dict[int, int] = {}
+_vectors: dict[tuple[int, int], np.ndarray] = {}
 
 
-def symbol_table() -> np.ndarray:
-    """Of each code point: 0 for what is no letter."""
-    if not _symbol:
-        out = np.zeros(0x110000, np.uint8)
-        for c in range(0x32400):
+def folded(points: np.ndarray) -> np.ndarray:
+    """Of each code point its letter's (in lower case) or mark's number; 0 for what is neither."""
+    for c in points.tolist():
+        if c not in _folded:
             x = chr(c)
-            if x.isalpha():
-                low = ord(x.lower()[0])
-                out[c] = low - 0x60 if 0x61 <= low <= 0x7A else 27 + low * 2654435761 % 2**32 % (SYMBOLS - 27)
-        _symbol.append(out)
-    return _symbol[0]
+            _folded[c] = ord(x.lower()[0]) if unicodedata.category(x)[0] in "LM" else 0
+    return np.asarray([_folded[c] for c in points.tolist()], np.int64)
 
 
-def letter_vectors(dim: int = DIM) -> np.ndarray:
-    return np.random.default_rng(SEED).choice(np.asarray([-1, 1], np.float32), (SYMBOLS, dim))
+def letter_vectors(points: np.ndarray, dim: int = DIM) -> np.ndarray:
+    """(letters, dim) of +1 and -1, each row a function of its code point alone."""
+    if len(_vectors) > KEPT:
+        _vectors.clear()
+    for c in points.tolist():
+        if (c, dim) not in _vectors:
+            _vectors[c, dim] = np.random.default_rng((SEED, c)).integers(0, 2, dim, dtype=np.int8) * np.int8(2) - np.int8(1)
+    return np.asarray([_vectors[c, dim] for c in points.tolist()], np.int8).reshape(len(points), dim)
 
 
-def profiles(data: np.ndarray, bounds: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def profiles(data: np.ndarray, bounds: np.ndarray, dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
     """A bundle per text (rows), and whether it has a letter."""
     n = len(bounds) - 1
     lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)])
-    text = data.tobytes().decode("utf-8", "replace").encode("utf-32-le")
-    s = symbol_table()[np.frombuffer(text, np.uint32)]
+    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     first = lead[bounds]
-    doc = np.repeat(np.arange(n), np.diff(first))
+    # the batch's own letters are numbered; 0 is the separator
+    low = np.flatnonzero(np.bincount(points, minlength=1))
+    named = folded(low)
+    letters = np.unique(np.concatenate([[0], named]))
+    number = np.zeros(int(low[-1]) + 1 if len(low) else 1, np.int64)
+    number[low] = np.searchsorted(letters, named)
+    s, doc = number[points], np.repeat(np.arange(n), np.diff(first))
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] > 0) | (s[:-1] > 0) | (doc[1:] != doc[:-1])
-    s, doc = s[keep].astype(np.int64), doc[keep]
+    s, doc = s[keep], doc[keep]
     lettered = np.bincount(doc[s > 0], minlength=n) > 0
     # a separator before and after each text, so that short words have n-grams too
     ends = np.searchsorted(doc, np.arange(n + 1))
     s, doc = (np.insert(x, np.concatenate([ends[:-1], ends[1:]]), v) for x, v in ((s, 0), (doc, np.concatenate([np.arange(n), np.arange(n)]))))
     order = np.argsort(doc, kind="stable") if len(doc) > 1 and (doc[1:] < doc[:-1]).any() else slice(None)
     s, doc = s[order], doc[order]
+    out = np.zeros((n, dim), np.float32)
     if len(s) < WIDTH:
-        return np.zeros((n, letters.shape[1]), np.float32), lettered
-    m = len(s) - WIDTH + 1
+        return out, lettered
+    m, base = len(s) - WIDTH + 1, len(letters)
     code = np.zeros(m, np.int64)
     for k in range(WIDTH):
-        code = code * SYMBOLS + s[k : k + m]
+        code = code * base + s[k : k + m]
     fine = (doc[:m] == doc[WIDTH - 1 :]) & (s[1 : m + 1] > 0)
     code, doc = code[fine], doc[:m][fine]
-    seen = np.flatnonzero(np.bincount(code, minlength=SYMBOLS**WIDTH))
-    place = np.zeros(SYMBOLS**WIDTH, np.int64)
-    place[seen] = np.arange(len(seen))
-    counts = np.bincount(doc * len(seen) + place[code], minlength=n * len(seen)).reshape(n, len(seen)).astype(np.float32)
-    bound = np.ones((len(seen), letters.shape[1]), np.float32)
-    for k in range(WIDTH):
-        bound *= np.roll(letters, WIDTH - 1 - k, axis=1)[seen // SYMBOLS ** (WIDTH - 1 - k) % SYMBOLS]
-    return counts @ bound, lettered
+    if base**WIDTH <= TABLE:
+        seen = np.flatnonzero(np.bincount(code, minlength=1))
+        table = np.zeros(base**WIDTH, np.int64)
+        table[seen] = np.arange(len(seen))
+        place = table[code]
+    else:
+        seen, place = np.unique(code, return_inverse=True)
+    if len(seen) > BLOCK:
+        order = np.argsort(place, kind="stable")
+        place, doc = place[order], doc[order]
+    vectors = letter_vectors(letters, dim)
+    for at in range(0, len(seen), BLOCK):
+        grams = seen[at : at + BLOCK]
+        a, b = np.searchsorted(place, [at, at + len(grams)]) if len(seen) > BLOCK else (0, len(place))
+        counts = np.bincount(doc[a:b] * len(grams) + place[a:b] - at, minlength=n * len(grams)).reshape(n, len(grams)).astype(np.float32)
+        bound = np.ones((len(grams), dim), np.int8)
+        for k in range(WIDTH):
+            bound *= np.roll(vectors[grams // base ** (WIDTH - 1 - k) % base], WIDTH - 1 - k, axis=1)
+        out += counts @ bound.astype(np.float32)
+    return out, lettered
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,9 +131,9 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, dim: int = DIM) ->
     drawn = known.select("doc_id", "lang", "text").join(small(counts, 10_000), F.col("lang") == F.col("_lang")).where(draw(F.col("doc_id"), SEED) * F.col("_n") < per_language)
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, sums = letter_vectors(dim), {}
+        sums = {}
         for batch in _batches(batches):
-            found, lettered = profiles(*utf8(batch.column("text")), letters)
+            found, lettered = profiles(*utf8(batch.column("text")), dim)
             langs = np.asarray(batch.column("lang").to_pylist(), object)
             for lang in set(langs[lettered]):
                 sums[lang] = sums.get(lang, 0) + _unit(found[lettered & (langs == lang)]).sum(axis=0, dtype=np.float64)
@@ -129,10 +155,10 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFr
     """doc_id, lang_pred, score of every document."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = letter_vectors(prototypes.shape[1] if len(langs) else 8)
+        dim = prototypes.shape[1] if len(langs) else 8
         names = np.asarray([*langs, UNKNOWN], object)
         for batch in _batches(batches):
-            found, lettered = profiles(*utf8(batch.column("text")), letters)
+            found, lettered = profiles(*utf8(batch.column("text")), dim)
             if langs:
                 cosines = _unit(found) @ prototypes.T
                 best = np.where(lettered, cosines.argmax(axis=1), len(langs))
@@ -141,6 +167,7 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFr
                 best, score = np.zeros(batch.num_rows, int), np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names[best], pa.string()), pa.array(score.astype(np.float64))], ["doc_id", "lang_pred", "score"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, lang_pred string, score double")
 
 
