@@ -52,7 +52,7 @@ def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    return secrets.scan(table(spark, sf_dir, "documents"), path="source")
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_pack_sequences, op3_url_filter, op4_tokeniser_fertility, op5_quality_classifier, op6_language_id, op7_substring_dedup, op8_near_duplicates, op9_nearest_vectors, op10_secret_scan)}

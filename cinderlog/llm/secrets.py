@@ -1,32 +1,40 @@
 r"""Secret scans: candidates by one pattern, false positives removed by a random forest.
 
-A candidate is a run of 16 or more letters, digits, ``_ + / -`` with a digit in it, and up to two ``=``
-that end it; any other ``=`` parts a name from its value. The forest sees its
+A candidate is a private key block; or a run of 16 or more letters, digits, ``_ + / -`` with a digit in it,
+or of 20 and more without (up to two ``=`` may end it, and parts of 16 and more may follow dots); or 8 and
+more characters up to a space, quote or bracket as the value of a word that names a credential (``name = value``,
+``name: "value"``). The forest sees its
 length, its character classes and transitions, the part covered by dictionary words, the path of its
 document, and the neighbouring words (up to CONTEXT characters on either side, the candidate before
-among them, no further than the next). It is trained here on labelled findings: known shapes of credentials in the places
+among them, no further than the next). It is trained here on labelled findings: shapes of credentials in the places
 where they leak, and look-alikes (digests, ids, paths, identifiers, placeholders) in theirs, cut by the
-pattern of the scan. Training
-data are some hundred made-up rows of fixed number; the trees become one SQL expression, so scanning
-runs wholly in the JVM.
+scan's own expressions. Training data are some thousand made-up rows of fixed number; shapes for a test of what was never
+trained on are ``unseen``. The trees become one SQL expression, so scanning runs wholly in the JVM.
 
 Defined results: null or empty text has no findings and stays as it is; equal rows give equal
-findings, once per row; a null doc_id is carried; an empty table gives none; other columns pass
-through ``redact`` untouched (n_chars is counted anew if there).
+findings, once per row; a null doc_id is carried; an empty table gives none; other columns, whatever
+their names, pass through ``redact`` untouched (n_chars is counted anew if there).
 """
 
 from __future__ import annotations
 
 import random
-import re
 import string
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*[0-9])[A-Za-z0-9_+/\-]{16,}+(?:={1,2}(?![A-Za-z0-9_+/=\-]))?"
+from cinderlog.llm.stages import packed
+
+#: What names a credential, as a value's left neighbour.
+KEY_WORDS = "token|secret(?:[_-]?key)?|passwd|password|pwd|passphrase|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|signing[_-]?key|credentials?"
+_RUN = r"[A-Za-z0-9_+/\-]"
+CANDIDATE = (
+    r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----[A-Za-z0-9+/=\s\\:,\-]*?-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+    rf"|(?<!{_RUN})(?:(?=[A-Za-z_+/\-]*[0-9]){_RUN}{{16,}}+|(?=[_+/\-]*[A-Za-z]){_RUN}{{20,}}+)(?:\.[A-Za-z0-9_\-]{{16,}}+)*(?:={{1,2}}(?![A-Za-z0-9_+/=\-]))?"
+    rf"|(?<=[:=][ \t]{{0,2}}[\"'`]?)(?<=(?i:{KEY_WORDS})[\"'`]?[ \t]{{0,2}}[:=]{{1,2}}[ \t]{{0,2}}[\"'`]?)[^\s\"'`<>,;(){{}}\[\]]{{8,}}+"
+)
 CONTEXT, THRESHOLD, MASK = 60, 0.5, "[SECRET]"
 TREES, DEPTH, LEAF, ROWS, SEED = 25, 6, 4, 60, 11
 
@@ -50,6 +58,9 @@ EMPTY = "example|sample|your|xxxx|changeme|placeholder|dummy|insert|redacted|000
 
 FEATURES = {
     "len": "cast(length(cand) as double)",
+    "block": "if(startswith(cand, '-----BEGIN '), 1.0, 0.0)",
+    "dots": "regexp_count(cand, '[.]') / length(cand)",
+    "valued": f"if(lower(before) rlike '({KEY_WORDS})[\"\\'`]?[ ]?[:=]{{1,2}}[ ]?[\"\\'`]?$', 1.0, 0.0)",
     "digits": "regexp_count(cand, '[0-9]') / length(cand)",
     "upper": "regexp_count(cand, '[A-Z]') / length(cand)",
     "marks": "regexp_count(cand, '[^A-Za-z0-9]') / length(cand)",
@@ -70,50 +81,94 @@ FEATURES = {
 }
 
 
+class _Made:
+    """Made-up findings (before, finding, after, path, label) from one seed."""
+
+    hexes, letters, alnum = "0123456789abcdef", string.ascii_letters, string.ascii_letters + string.digits
+    b64, base58 = string.ascii_letters + string.digits + "+/", "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+    names = ("token", "secret", "password", "api_key", "apikey", "access_key", "auth_token", "client_secret", "passwd", "API_KEY", "private_key", "secretKey", "accessToken", "db_password")
+
+    def __init__(self, seed: int) -> None:
+        self.rng = random.Random(seed)
+
+    def some(self, of: str, least: int, most: int = 0) -> str:
+        return "".join(self.rng.choice(of) for _ in range(self.rng.randint(least, max(least, most))))
+
+    def word(self) -> str:
+        return self.rng.choice(DICTIONARY)
+
+    def prose(self) -> str:
+        return " ".join(self.some("aeionrstlhd", 2, 9) for _ in range(self.rng.randint(0, 5)))
+
+    def path(self, label: int) -> str:
+        plain = ["", "", f"src/{self.word()}.py", f"app/{self.word()}/{self.word()}.ts", f"deploy/{self.word()}.env"]
+        trial = ["tests/test_auth.py", "docs/example.md", "fixtures/sample.json"]
+        return self.rng.choice(plain * 6 + trial if label else plain + trial)
+
+    def password(self) -> str:
+        """As people make them: words or letters, a number, at times a mark."""
+        parts = [self.rng.choice([self.word().title(), self.some(self.letters, 4, 8), self.some("aeionrstlhd", 4, 8).title()]) for _ in range(self.rng.randint(1, 2))]
+        return "".join(parts) + self.rng.choice(["", self.some(string.digits, 1, 4)]) + self.rng.choice(["", "", *"!$@#%^&*?"]) + self.some(self.alnum, 2, 5)
+
+    def assigned(self, value: str) -> tuple[str, str, str]:
+        quote, gap = self.rng.choice(['"', "'", '"', ""]), self.rng.choice([" = ", "=", ": ", " : ", ":= ", '": '])
+        name = self.rng.choice(self.names)
+        return f"{self.prose()} {name.upper() if self.rng.random() < 0.2 else name}{gap}{quote}", value, f"{quote} {self.prose()}"
+
+    def rows(self, labelled: list[tuple[int, list[tuple[str, str, str]]]]) -> list[tuple[str, str, str, str, int]]:
+        return [(*x, self.path(label), label) for label, found in labelled for x in found]
+
+
 def labelled_findings(seed: int = SEED) -> list[tuple[str, str, str, str, int]]:
-    """(before, candidate, after, path, label): made up, ROWS of each kind."""
-    rng = random.Random(seed)
-    hexes, alnum, b64 = "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
-    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
-    word = lambda: rng.choice(DICTIONARY)
-    prose = lambda: " ".join(some("aeionrstlhd", rng.randint(2, 9)) for _ in range(rng.randint(0, 5)))
-    path = lambda: rng.choice(["", "", "", f"src/{word()}.py", f"app/{word()}/{word()}.ts", "tests/test_auth.py", "docs/example.md"])
-    mark = lambda: rng.choice(["", "", "", "", rng.choice(["!!", "%%%", "&&&", "***", "$$$", "###"])])
-    case = lambda s: s.upper() if rng.random() < 0.2 else s
-    out: list[tuple[str, str, str, str, int]] = []
-    names = ["token", "secret", "password", "api_key", "apikey", "access_key", "auth_token", "client_secret", "passwd", "API_KEY", "private_key", "bearer", "secretKey", "accessToken"]
+    """(before, finding, after, path, label): made up, ROWS of each kind."""
+    m, out = _Made(seed), []
     for _ in range(ROWS):
-        q = rng.choice(['"', "'", '"', '"', ""])
-        m, assign = mark(), rng.choice([" = ", "=", ": ", " : ", ":= ", " = "])
-        secrets = [some(hexes, rng.choice([32, 40, 40, 64])), some(alnum, rng.randint(20, 48)), some(b64, rng.choice([40, 44, 88])) + rng.choice(["", "=", "=="]), "AKIA" + some(string.ascii_uppercase + string.digits, 16), "ghp_" + some(alnum, 36), "sk_live_" + some(alnum, 24), "xoxb-" + some(string.digits, 12) + "-" + some(alnum, 24), "glpat-" + some(alnum, 20)]
-        for s in secrets:
-            if not any(c.isdigit() for c in s):
-                s += "7"
-            key = rng.choice(names) + m + assign.replace("= ", f"={m} ").replace(": ", f":{m} ")
-            out.append((f"{prose()} {case(key)}{q}", case(s) if set(s) <= set(hexes) else s, f"{q}{mark()} {prose()}", path(), 1))
-        out.append((f"{prose()} Authorization: Bearer ", some(alnum, rng.randint(30, 60)) + "9", f" {prose()}", path(), 1))
-        out.append((f"{prose()} postgres://{word()}:", some(alnum, rng.randint(18, 28)) + "4", f"@db.internal/{word()}", path(), 1))
+        some, word, prose, rng = m.some, m.word, m.prose, m.rng
+        hexed = some(m.hexes, rng.choice([32, 40, 40, 48, 64]))
+        values = [hexed.upper() if rng.random() < 0.2 else hexed, some(m.alnum, 20, 48), some(m.alnum, 10, 19), some(m.letters, 20, 40), some(m.b64, rng.choice([40, 44, 88])) + rng.choice(["", "=", "=="]), m.password(), m.password(),
+                  "AKIA" + some(string.ascii_uppercase + string.digits, 16), "ghp_" + some(m.alnum, 36), "sk_live_" + some(m.alnum, 24), "xoxb-" + some(string.digits, 12) + "-" + some(m.alnum, 24), "glpat-" + some(m.alnum, 20)]
+        jwt = ".".join(["eyJ" + some(m.alnum + "_-", 17, 40), "eyJ" + some(m.alnum + "_-", 30, 90), some(m.alnum + "_-", 43)])
+        pem = "\n".join(some(m.b64, 64) for _ in range(rng.randint(3, 20)))
+        kind = rng.choice(["", "RSA ", "EC ", "OPENSSH "])
+        secrets = [m.assigned(v) for v in values] + [
+            (f"{prose()} Authorization: Bearer ", some(m.alnum, 30, 60), f" {prose()}"), (f"{prose()} {rng.choice(['Bearer ', 'cookie: session=', 'jwt '])}", jwt, f" {prose()}"),
+            (f"{prose()} postgres://{word()}:", some(m.alnum, 18, 28), f"@db.internal/{word()}"), (f"{prose()} ?{rng.choice(['access_token', 'api_key', 'token'])}=", some(m.alnum, 20, 40), f"&page={rng.randint(1, 9)} {prose()}"),
+            (f"{prose()}\n", f"-----BEGIN {kind}PRIVATE KEY-----\n{pem}\n-----END {kind}PRIVATE KEY-----", f"\n{prose()}"),
+        ]
+        quote, gap = rng.choice(['"', "'", ""]), rng.choice([" = ", "=", ": "])
         look_alikes = [
-            (f"{prose()} commit ", some(hexes, 40), f" {prose()}"), (f"{prose()} sha256: ", some(hexes, 64), f"\n{prose()}"), (f"{prose()} md5 = {q}", some(hexes, 32), f"{q} {prose()}"),
-            (f"{prose()} {rng.choice(['id', 'uuid', 'request_id', 'trace'])}{assign}{q}", "-".join(some(hexes, k) for k in (8, 4, 4, 4, 12)), f"{q} {prose()}"),
+            (f"{prose()} commit ", some(m.hexes, 40), f" {prose()}"), (f"{prose()} sha256: ", some(m.hexes, 64), f"\n{prose()}"), (f"{prose()} md5 = {quote}", some(m.hexes, 32), f"{quote} {prose()}"),
+            (f"{prose()} {rng.choice(['id', 'uuid', 'request_id', 'trace'])}{gap}{quote}", "-".join(some(m.hexes, k) for k in (8, 4, 4, 4, 12)), f"{quote} {prose()}"),
             (f"{prose()} ", f"{word()}_{word()}_{word()}_{rng.randint(1, 99)}", f"({prose()}"), (f"{prose()} https://example.org/{word()}/", f"{word()}-{word()}-{word()}-{rng.randint(1, 9999)}", f" {prose()}"),
-            (f"{prose()} ./", f"{word()}/{word()}2/{word()}/{word()}_{rng.randint(1, 9)}", f".{rng.choice(['py', 'js', 'so'])} {prose()}"), (f"{prose()} ", some(string.digits, rng.randint(16, 20)), f" {prose()}"),
-            (f"{prose()} {rng.choice(names)}{assign}{q}", rng.choice(["your_api_key_here_123", "EXAMPLE0000000000000000", "xxxxxxxxxxxxxxxx1234", "changeme1234567890", "insert_your_token_here1"]), f"{q} {prose()}"),
-            (f"{prose()} data:image/png;base64,", some(b64, rng.randint(60, 200)) + "1", f") {prose()}"), (f"{prose()} integrity={q}sha512-", some(b64, 86) + "0==", f"{q} {prose()}"),
-            (f"{prose()} ", some("aeionrstlhd", rng.randint(14, 22)) + str(rng.randint(0, 99)), f", {prose()}"), (f"{prose()} invoice {rng.choice(['no. ', 'number ', '#'])}", some(string.digits, 16) + rng.choice(["", "A"]), f" {prose()}"),
-            (f"{prose()} {rng.choice(names)} ", f"{word()}{word().title()}{word().title()}{rng.randint(1, 9)}", f"() {prose()}"), (f"{prose()} ", "=" * rng.randint(16, 40) + "1", f" {prose()}"), (f"{prose()} ", "-" * rng.randint(16, 60) + str(rng.randint(1, 9)), f"\n{prose()}"),
+            (f"{prose()} ./", f"{word()}/{word()}2/{word()}/{word()}_{rng.randint(1, 9)}", f".{rng.choice(['py', 'js', 'so'])} {prose()}"), (f"{prose()} ", some(string.digits, 16, 20), f" {prose()}"),
+            (f"{prose()} {rng.choice(m.names)}{gap}{quote}", rng.choice(["your_api_key_here_123", "EXAMPLE0000000000000000", "xxxxxxxxxxxxxxxx1234", "changeme1234567890", "insert_your_token_here1", "xxxxxxxx", "placeholder", "********", "changeme", "example-password"]), f"{quote} {prose()}"),
+            (f"{prose()} {rng.choice(m.names)}{gap}", rng.choice([f"{word()}.{word()}.{word()}", f"os.environ.get", f"${word()}_{word()}", f"self.{word()}_{word()}", f"{word()}_{word()}", f"config.{word()}"]), f" {prose()}"),
+            (f"{prose()} data:image/png;base64,", some(m.b64, 60, 200) + "1", f") {prose()}"), (f"{prose()} integrity={quote}sha512-", some(m.b64, 86) + "==", f"{quote} {prose()}"),
+            (f"{prose()} ", some("aeionrstlhd", 14, 24) + rng.choice(["", str(rng.randint(0, 99))]), f", {prose()}"), (f"{prose()} invoice {rng.choice(['no. ', 'number ', '#'])}", some(string.digits, 16) + rng.choice(["", "A"]), f" {prose()}"),
+            (f"{prose()} {rng.choice(m.names)} ", f"{word()}{word().title()}{word().title()}{rng.choice(['', str(rng.randint(1, 9))])}", f"() {prose()}"), (f"{prose()} ", f"{word()}{word().title()}{word().title()}{word().title()}", f"() {prose()}"),
+            (f"{prose()} ", "-".join([word(), word(), word(), word()]), f" {prose()}"), (f"{prose()} ", f"{word()}/{word()}/{word()}/{word()}", f" {prose()}"), (f"{prose()} ", some("aeionrstlhd_", 24, 60), f" {prose()}"),
         ]
-        out += [(*x, path(), 0) for x in look_alikes]
-    return [(*cut, *r[3:]) for r in out if (cut := as_cut(*r[:3]))]
+        out += m.rows([(1, secrets), (0, look_alikes)])
+    return out
 
 
-def as_cut(before: str, finding: str, after: str) -> tuple[str, str, str] | None:
-    """The first candidate that the scan finds within a finding, with what is around it."""
-    text, end = before + finding + after, len(before) + len(finding)
-    for m in re.finditer(CANDIDATE, text):
-        if m.start() < end and m.end() > len(before):
-            return text[: m.start()], m.group(), text[m.end() :]
-    return None
+def unseen(seed: int = 5, rows: int = 40) -> list[tuple[str, str, str, str, int]]:
+    """Findings of shapes and places that are in no training row."""
+    m, out = _Made(seed), []
+    for _ in range(rows):
+        some, word, prose, rng = m.some, m.word, m.prose, m.rng
+        secrets = [
+            (f"{prose()} export HF_TOKEN=", "hf_" + some(m.alnum, 34), f"\n{prose()}"), (f"{prose()} \"shop_access_token\": \"", "shpat_" + some(m.hexes, 32), f"\" {prose()}"), (f"{prose()} AccountKey=", some(m.b64, 86) + "==", f";EndpointSuffix={word()}.net"),
+            (f"{prose()} wallet secret: ", "5" + some(m.base58, 50), f" {prose()}"), (f"{prose()} mongodb+srv://{word()}:", some(m.alnum, 20, 24), f"@{word()}.{word()}.net/{word()}"), (f"{prose()} curl -H 'X-Api-Key: ", some(m.alnum, 32), f"' {prose()}"),
+            (f"{prose()} <password>", some(m.alnum, 16, 24), f"</password> {prose()}"), (f"{prose()} npm //registry/:_authToken=", "npm_" + some(m.alnum, 36), f"\n{prose()}"), (f"{prose()} aws_secret_access_key = ", some(m.b64, 40), f"\n{prose()}"), (f"{prose()} login with password: '", m.password(), f"' {prose()}"),
+        ]
+        look_alikes = [
+            (f"{prose()} image {word()}@sha256:", some(m.hexes, 64), f" {prose()}"), (f"{prose()} ETag: \"", some(m.hexes, 32), f"\" {prose()}"), (f"{prose()} blob/{some(m.hexes, 40)}/", f"{word()}/{word()}/{word()}2", f" {prose()}"),
+            (f"{prose()} build ", f"{rng.randint(1, 9)}-{some(string.digits, 14)}-{word()}", f" {prose()}"), (f"{prose()} class=\"", f"{word()}-{word()}__{word()}--{word()}", f"\" {prose()}"), (f"{prose()} import ", f"{word()}_{word()}_{word()}_{word()}", f" {prose()}"),
+            (f"{prose()} order ", f"{rng.randint(2000, 2030)}-{some(string.digits, 4)}-{some(string.digits, 8)}", f" {prose()}"), (f"{prose()} token = ", f"get_{word()}_{word()}", f"() {prose()}"), (f"{prose()} session-id ", "-".join(some(m.hexes, k) for k in (8, 4, 4, 4, 12)), f" {prose()}"), (f"{prose()} isbn ", some(string.digits, 13) + "-" + some(string.digits, 4), f" {prose()}"),
+        ]
+        out += m.rows([(1, secrets), (0, look_alikes)])
+    return out
 
 
 def grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int = DEPTH) -> tuple | float:
@@ -155,47 +210,70 @@ def features_sql(cand: str, before: str, after: str, path: str) -> str:
 _forests: dict[int, list] = {}
 
 
-@lru_cache
-def _findings() -> tuple:
-    return tuple(labelled_findings())
+def _cut(text: str) -> tuple[str, str]:
+    """SQL of a text's candidates, and of what stands between them (one more)."""
+    pattern = "'" + CANDIDATE.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"regexp_extract_all({text}, {pattern}, 0)", f"split({text}, {pattern}, -1)"
+
+
+#: Of each candidate of ``cands`` and ``seps``: what stood before it (the candidate before among it), itself, and what follows.
+_EACH = "transform(sequence(0, size(cands) - 1), i -> named_struct('p', if(i > 0, get(cands, i - 1), ''), 'sep', seps[i], 'cand', cands[i], 'n', seps[i + 1]))"
+
+
+def _features(path: str) -> str:
+    return features_sql("z.cand", f"substr(concat(z.p, z.sep), {-CONTEXT})", f"substr(z.n, 1, {CONTEXT})", path)
+
+
+def found_in(rows: DataFrame) -> DataFrame:
+    """Rows (b, t, a, p, y) to (x, y, cand): the features of the first candidate within the finding t, null where there is none."""
+    cands, seps = _cut("text")
+    cut = rows.selectExpr("concat(b, t, a) AS text", "length(b) AS lo", "length(b) + length(t) AS hi", "p", "y").selectExpr("*", f"{cands} AS cands", f"{seps} AS seps")
+    ends = "transform(sequence(0, size(cands) - 1), i -> aggregate(slice(seps, 1, i + 1), 0, (n, s) -> n + length(s)) + aggregate(slice(cands, 1, i + 1), 0, (n, s) -> n + length(s)))"
+    inside = "filter(transform(arrays_zip(parts, ends), z -> named_struct('z', z.parts, 'start', z.ends - length(z.parts.cand), 'end', z.ends)), w -> w.start < hi AND w.end > lo)"
+    cut = cut.selectExpr("*", f"CASE WHEN size(cands) > 0 THEN {_EACH} END AS parts", f"CASE WHEN size(cands) > 0 THEN {ends} END AS ends").selectExpr("p", "y", f"get({inside}, 0).z AS z")
+    return cut.selectExpr(f"CASE WHEN z IS NOT NULL THEN {_features('p')} END AS x", "y", "z.cand")
 
 
 def forest(spark: SparkSession, seed: int = SEED) -> list:
     """Trees trained on the labelled findings; their features come from the same SQL as the scan's."""
     if seed not in _forests:
-        rows = spark.createDataFrame(list(_findings()), "b string, t string, a string, p string, y int")
-        found = rows.select(F.expr(features_sql("t", "b", "a", "p")).alias("x"), "y").collect()
+        rows = spark.createDataFrame(labelled_findings(), "b string, t string, a string, p string, y int")
+        found = found_in(rows).where("x IS NOT NULL").collect()
         x, y = np.asarray([list(r["x"]) for r in found], float), np.asarray([r["y"] for r in found], float)
         rng = np.random.default_rng(seed)
         _forests[seed] = [grow(x[draw], y[draw], rng) for draw in (rng.integers(0, len(y), len(y)) for _ in range(TREES))]
     return _forests[seed]
 
 
-def _scored(docs: DataFrame, path: str | None, keep: list[str]) -> DataFrame:
-    """``keep`` and _parts: for each candidate the text before it, itself and its score; and _rest, the text after the last."""
-    names = list(FEATURES)
-    trees = forest(docs.sparkSession)
-    mean = "(" + " + ".join(as_sql(t, names) for t in trees) + f") / {len(trees)}D"
-    cut = docs.select(*[docs[c] for c in keep], F.regexp_extract_all(F.col("text"), F.lit(CANDIDATE), F.lit(0)).alias("_cands"), F.col("text").alias("_text"), (F.col(path).cast("string") if path else F.lit("")).alias("_path"))
-    cut = cut.withColumn("_seps", F.when(F.size("_cands") > 0, F.split("_text", CANDIDATE, -1)))
-    x = features_sql("z._cands", f"substr(concat(z.p, z._seps), {-CONTEXT})", f"substr(z.n, 1, {CONTEXT})", "_path")
-    zipped = "transform(sequence(0, size(_cands) - 1), i -> named_struct('p', if(i > 0, get(_cands, i - 1), ''), '_seps', _seps[i], '_cands', _cands[i], 'n', _seps[i + 1]))"
-    parts = f"transform({zipped}, z -> named_struct('sep', z._seps, 'cand', z._cands, 'score', transform(array({x}), x -> {mean})[0]))"
-    return cut.withColumn("_parts", F.expr(f"CASE WHEN size(_cands) > 0 THEN {parts} END"))
+def mean_sql(trees: list) -> str:
+    """The share of trees for a secret, over features ``x``."""
+    return "(" + " + ".join(as_sql(t, list(FEATURES)) for t in trees) + f") / {len(trees)}D"
+
+
+def _scored(docs: DataFrame, path: str | None) -> DataFrame:
+    """``row`` (all columns), seps, cands and parts: for each candidate the text before it, itself and its score; null for no candidate."""
+    cands, seps = _cut("row.text")
+    where = F.col(f"row.`{path}`").cast("string") if path else F.lit("")
+    cut = packed(docs).select("row", F.expr(cands).alias("cands"), where.alias("path")).withColumn("seps", F.when(F.size("cands") > 0, F.expr(seps)))
+    parts = f"transform({_EACH}, z -> named_struct('sep', z.sep, 'cand', z.cand, 'score', transform(array({_features('path')}), x -> {mean_sql(forest(docs.sparkSession))})[0]))"
+    return cut.withColumn("parts", F.expr(f"CASE WHEN size(cands) > 0 THEN {parts} END"))
 
 
 def scan(docs: DataFrame, path: str | None = None) -> DataFrame:
     """One row per secret: doc_id, nth (of the text's candidates, from 1), start (code points from 1), secret, score."""
-    found = _scored(docs, path, ["doc_id"]).where("_parts IS NOT NULL")
-    sure = f"filter(transform(_parts, (p, i) -> named_struct('i', i, 'cand', p.cand, 'score', p.score)), p -> p.score >= {THRESHOLD}D)"
-    spans = f"transform({sure}, p -> named_struct('nth', p.i + 1, 'start', 1L + aggregate(slice(_lengths, 1, p.i + 1), 0L, (a, b) -> a + b.sep) + aggregate(slice(_lengths, 1, p.i), 0L, (a, b) -> a + b.cand), 'secret', p.cand, 'score', round(p.score, 6)))"
-    found = found.withColumn("_lengths", F.expr("transform(_parts, p -> named_struct('sep', length(p.sep), 'cand', length(p.cand)))"))
-    return found.select("doc_id", F.explode(F.expr(spans)).alias("f")).select("doc_id", "f.nth", "f.start", "f.secret", "f.score")
+    found = _scored(docs, path).where("parts IS NOT NULL")
+    sure = f"filter(transform(parts, (p, i) -> named_struct('i', i, 'cand', p.cand, 'score', p.score)), p -> p.score >= {THRESHOLD}D)"
+    spans = f"transform({sure}, p -> named_struct('nth', p.i + 1, 'start', 1L + aggregate(slice(lengths, 1, p.i + 1), 0L, (a, b) -> a + b.sep) + aggregate(slice(lengths, 1, p.i), 0L, (a, b) -> a + b.cand), 'secret', p.cand, 'score', round(p.score, 6)))"
+    found = found.withColumn("lengths", F.expr("transform(parts, p -> named_struct('sep', length(p.sep), 'cand', length(p.cand)))"))
+    return found.select("row.doc_id", F.explode(F.expr(spans)).alias("f")).select("doc_id", "f.nth", "f.start", "f.secret", "f.score")
 
 
 def redact(docs: DataFrame, path: str | None = None, mask: str = MASK) -> DataFrame:
     """The same rows and columns, with each secret in ``text`` replaced by ``mask``."""
-    hidden = f"concat(array_join(transform(_parts, p -> concat(p.sep, if(p.score >= {THRESHOLD}D, '{mask}', p.cand))), ''), element_at(_seps, -1))"
-    out = _scored(docs, path, list(docs.columns)).withColumn("_new", F.expr(f"CASE WHEN _parts IS NULL THEN _text WHEN NOT exists(_parts, p -> p.score >= {THRESHOLD}D) THEN _text ELSE {hidden} END"))
-    cols = [F.col("_new").alias(c) if c == "text" else F.when(F.exists("_parts", lambda p: p["score"] >= THRESHOLD), F.length("_new").cast(docs.schema[c].dataType)).otherwise(F.col(f"`{c}`")).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*cols)
+    hidden = f"concat(array_join(transform(parts, p -> concat(p.sep, if(p.score >= {THRESHOLD}D, '{mask}', p.cand))), ''), element_at(seps, -1))"
+    found = F.coalesce(F.exists("parts", lambda p: p["score"] >= THRESHOLD), F.lit(False))
+    out = _scored(docs, path).select("row", found.alias("found"), F.when(found, F.expr(hidden)).otherwise(F.col("row.text")).alias("clean"))
+    new = {"text": F.col("clean")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("found"), F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
