@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from cinderlog.llm.components import components
 from cinderlog.llm.sampling import draw
-from cinderlog.llm.stages import drop, release_shuffles, small, small_arrays, stage
+from cinderlog.llm.stages import drop, packed, release_shuffles, small, small_arrays, stage
 from cinderlog.llm.words import mix64, pieces, scan, text_of, utf8, window_names
 
 SHINGLE, SIMILAR, REGISTERS, BANDS = 5, 0.8, 128, 32
@@ -265,6 +265,14 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The rows of ``docs`` whose document is its class's first; one class's other documents go."""
-    gone = stage(near_duplicates(docs, similar).where("class_id < doc_id").select(F.col("doc_id").alias("_gone")))
-    return docs.join(small(gone, MOST_IDS), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Rows of ``docs``, one for each class: its first document's. Of several rows with that id, the one of least digest stays; rows of null id all stay."""
+    classes = near_duplicates(docs, similar)
+    gone = stage(classes.where("class_id < doc_id").select(F.col("doc_id").alias("gone")))
+    again = small(stage(docs.groupBy(F.col("doc_id").cast("long").alias("again")).agg(F.count("*").alias("c")).where("c > 1 AND again IS NOT NULL").select("again")), MOST_IDS)
+    drop(classes)
+    stay = packed(docs).join(small(gone, MOST_IDS), F.col("row.doc_id") == F.col("gone"), "left_anti")
+    once = stay.join(again, F.col("row.doc_id") == F.col("again"), "left_anti")
+    # combined before the shuffle, so an id of very many rows is one row a task
+    least = stay.join(again, F.col("row.doc_id") == F.col("again"), "left_semi").select(F.col("row.doc_id").alias("id"), "row")
+    least = least.groupBy("id").agg(F.min_by("row", F.sha2(F.to_json(F.struct("row")), 256)).alias("row"))
+    return once.union(least.select("row")).select("row.*")
