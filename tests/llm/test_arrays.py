@@ -41,23 +41,61 @@ def test_pieces_keep_rows_and_bound_bytes():
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 2), max_size=40), min_size=1, max_size=4), st.integers(1, 3))
+@given(st.lists(st.lists(st.integers(0, 2), max_size=40), min_size=1, max_size=4), st.integers(1, 4))
 def test_equal_windows_have_equal_keys(docs, rounds):
     w = _scan([" ".join("abc"[x] for x in d) for d in docs])
-    at, owner, keys = recompress.window_keys(w, rounds=rounds)
+    s = recompress.symbols_of(w, lowest=rounds)
     seen = {}
-    for a, key in zip(at.tolist(), keys.tolist(), strict=True):
+    for a, key in zip(s.at.tolist(), s.key.tolist(), strict=True):
         window = tuple(w.name[a : a + recompress.WIDTH].tolist())
         assert seen.setdefault(window, key) == key
     want = sum(max(0, len(d) - recompress.WIDTH + 1) for d in docs)
-    assert len(at) == want and (np.diff(owner) >= 0).all()
+    assert len(s.at) == want and (np.diff(s.owner) >= 0).all()
+
+
+def _passages(rng, words, passage):
+    return [words(rng) + passage + words(rng) for _ in range(6)]
+
+
+def test_symbols_of_all_rounds_recur_with_their_words():
+    # inside equal words stand equal symbols of equal ranges, whatever is around
+    rng = random.Random(4)
+    passage = [f"p{rng.randrange(40)}" for _ in range(300)]
+    texts = _passages(rng, lambda r: [f"w{r.randrange(40)}" for _ in range(r.randrange(5, 90))], passage)
+    w = _scan([" ".join(t) for t in texts])
+    s = recompress.symbols_of(w)
+    ranges = {tuple(w.name[a:b].tolist()) for a, b in zip(s.low.tolist(), s.high.tolist(), strict=True)}
+    names = set(zip(s.name.tolist(), s.check.tolist(), strict=True))
+    assert len(ranges) == len(names) and all(len(r) >= recompress.WIDTH for r in ranges)
+    found = []
+    for i in range(6):
+        at = w.first[i] + len(texts[i]) - len(texts[i][texts[i].index(passage[0]) :])
+        start = next(k for k in range(len(texts[i])) if texts[i][k : k + 300] == passage) + w.first[i]
+        mine = (s.low >= start) & (s.high <= start + 300)
+        found.append([(a - start, b - start, n) for a, b, n in zip(s.low[mine].tolist(), s.high[mine].tolist(), s.name[mine].tolist(), strict=True)])
+        assert at <= start
+    assert all(f == found[0] for f in found) and len(found[0]) > 10
+    covered = {k for a, b, _ in found[0] for k in range(a, b)}
+    assert len(covered) > 200
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.sets(st.tuples(st.integers(0, 30), st.integers(1, 13)), max_size=30), st.integers(13, 45))
+def test_least_in_windows(pairs, n):
+    pairs = sorted((a, s) for a, s in pairs if a + s <= n)
+    low, size = (np.asarray([p[k] for p in pairs], np.int64) for k in (0, 1))
+    value = np.random.default_rng(len(pairs)).integers(0, 2**63, len(pairs)).astype(np.uint64)
+    got = recompress.least_in_windows(n, low, low + size, value, 13)
+    for a in range(n - 12):
+        inside = value[(low >= a) & (low + size <= a + 13)]
+        assert got[a] == (inside.min() if len(inside) else recompress._NONE)
 
 
 def test_window_keys_are_fewer_than_windows():
     rng = random.Random(1)
     w = _scan([" ".join(f"w{rng.randrange(500)}" for _ in range(5000))])
-    at, owner, keys = recompress.window_keys(w)
-    assert len(recompress._changes(owner, keys)[1]) < 0.35 * len(at)
+    s = recompress.symbols_of(w)
+    assert len(recompress._changes(s.owner, s.key)[1]) < 0.4 * len(s.at)
 
 
 @settings(max_examples=100, deadline=None)
@@ -119,14 +157,42 @@ def test_best_fit_wastes_little():
 
 
 def test_profiles_separate_alphabet_statistics():
-    letters = langid.letter_vectors()
     data, bounds = utf8(pa.array(["the cat sat on the mat", "the mat sat on the cat", "xyz qqq zzx qyx", "", None, "12 !"]))
-    found, lettered = langid.profiles(data, bounds, letters)
+    found, lettered = langid.profiles(data, bounds)
     unit = langid._unit(found)
     assert unit[0] @ unit[1] > 0.6 > unit[0] @ unit[2] and lettered.tolist() == [True, True, True, False, False, False]
     assert not found[3].any()
 
 
+def _profile(text, dim):
+    """The bundle, letter by letter."""
+    points = [int(langid.folded(np.asarray([ord(c)]))[0]) for c in text]
+    marked = [0, *points, 0]
+    marked = [c for i, c in enumerate(marked) if i == 0 or c or marked[i - 1]]
+    out = np.zeros(dim)
+    for i in range(len(marked) - 2):
+        if marked[i + 1]:
+            a, b, c = langid.letter_vectors(np.asarray(marked[i : i + 3]), dim).astype(int)
+            out += np.roll(a, 2) * np.roll(b, 1) * c
+    return out
+
+
+def test_profiles_equal_letter_by_letter_in_all_scripts():
+    texts = ["The quick  brown", "\u0447\u0435\u043b\u043e\u0432\u0435\u043a \u0438", "\u65e5\u672c\u8a9e\u306e\u6587\u7ae0 \U000323b0\U00020000", "\u0928\u092e\u0938\u094d\u0924\u0947 \u0e20\u0e32\u0e29\u0e32", "", "a1b"]
+    for rows in (texts, texts[::-1], texts[2:3]):
+        found, lettered = langid.profiles(*utf8(pa.array(rows)), 64)
+        assert lettered.tolist() == [bool(t) for t in rows]
+        for t, row in zip(rows, found, strict=True):
+            assert np.array_equal(row, _profile(t, 64))
+
+
+def test_profiles_of_many_letters_go_in_blocks():
+    rng = random.Random(3)
+    text = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(20_000))
+    found, _ = langid.profiles(*utf8(pa.array([text])), 16)
+    assert np.array_equal(found[0], _profile(text, 16))
+
+
 def test_network_learns_and_is_calibrated():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, quality.POOLED))
