@@ -12,15 +12,13 @@ All stages but the last return the columns of documents. ``run`` returns the las
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cinderlog.llm import bagminhash, mixing, packing, quality, secrets
 from cinderlog.llm.stages import drop, stage, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, list(docs.columns)).where(F.col("_score") >= quality.THRESHOLD).drop("_score")
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
