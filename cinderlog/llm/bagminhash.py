@@ -8,7 +8,7 @@ the work hardly grows with weights. Two texts agree in a register with the proba
 weighted Jaccard similarity.
 
 Texts of equal multisets are one class from the start. Among their first texts, those that agree in
-a band of ``ROWS`` registers meet in a bucket, and buckets of one pivot form a group. Texts of a group
+a band of ``ROWS`` registers meet in a bucket, and buckets of one pivot (their least document) form a group. Texts of a group
 are not compared with each other, but with a centre: the pivot, or, in groups of ``CROWD`` texts
 and more, the shingles that most of a sample of the group has. With A(x) for the shingles of x that the
 centre lacks, R(x) for the centre's that x lacks, and D(x) for both, two texts differ in
@@ -22,7 +22,7 @@ sides (prefix filtering), if the two are not in one component yet, and verified.
 verified on whole multisets: overlap at least ``SIMILAR`` of the union. Components are found in Spark.
 
 Defined results: a null or wordless text is a class of its own, as is a row of null id (class null);
-rows of equal id are one document; equal texts share a class; an empty table gives no rows; extra
+rows of equal id are one document, whose texts' classes are one; equal texts share a class; an empty table gives no rows; extra
 columns are ignored.
 """
 
@@ -158,7 +158,7 @@ def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def centred(found: DataFrame, crowd: int, sample: int) -> DataFrame:
     """Differences from a pivot as those from its group's centre. Each is in one order: what the sample has seldom
     first, by name, then what it has often, by how often; so that first elements are rare ones."""
-    sizes = found.groupBy("a").agg(F.count("*").alias("size")).where(F.col("size") >= crowd)
+    sizes = small(stage(found.groupBy("a").agg(F.count("*").alias("size")).where(F.col("size") >= crowd)), MOST_IDS)
     drawn = found.join(sizes, "a").where(draw(F.col("b"), 8) * F.col("size") < sample)
     each = drawn.select("a", "b", F.explode(F.concat(F.transform("added", lambda e: F.struct(e.alias("e"), F.lit(True).alias("more"))), F.transform("removed", lambda e: F.struct(e.alias("e"), F.lit(False).alias("more"))))).alias("x"))
     counts = each.groupBy("a", "x.e", "x.more").agg(F.count("*").alias("k")).where(F.col("k") >= OFTEN).join(drawn.groupBy("a").agg(F.count("*").alias("of")), "a")
@@ -173,12 +173,12 @@ def centred(found: DataFrame, crowd: int, sample: int) -> DataFrame:
     sides = joined.select("a", "b", "n", more.alias("more"), less.alias("less"), "often_more", "often_less")
     in_order = lambda c: F.concat(F.sort_array(F.array_except(c, f"often_{c}")), F.array_intersect(f"often_{c}", c))
     out = stage(sides.select("a", "b", "n", in_order("more").alias("more"), in_order("less").alias("less")))
-    drop(usual)
+    drop(usual, sizes)
     return out
 
 
 def against_middles(found: DataFrame, similar: float) -> DataFrame:
-    """Of centred differences: the middle m of each group, linked to it or not, and the elements to ask for partners by and to answer by.
+    """Of centred differences, staged: the middle m of each group, linked to it or not, and the elements to ask for partners by and to answer by.
 
     Let T(x, y) be the most that linked texts of these sizes differ by, and d = |D|; m has the least d less
     its part of T. A pair shares at least (d(x) + d(y) - T(x, y)) / 2 elements, which for a text not linked to m
@@ -190,8 +190,9 @@ def against_middles(found: DataFrame, similar: float) -> DataFrame:
     part = far_apart(similar)
     d = F.size("more") + F.size("less")
     least = found.groupBy("a").agg(F.min(F.struct((d - F.col("n") * part).alias("over"), F.col("b"), d.alias("d"))).alias("least")).select("a", F.col("least.b").alias("m"), F.col("least.d").alias("dm"))
-    middles = found.join(least, "a").where("b = m").select("a", "m", "dm", F.col("n").alias("nm"), F.col("more").alias("more_m"), F.col("less").alias("less_m"))
-    rows = found.join(middles, "a")
+    least = small(stage(least), MOST_IDS)
+    middles = stage(found.join(least, "a").where("b = m").select("a", "m", "dm", F.col("n").alias("nm"), F.col("more").alias("more_m"), F.col("less").alias("less_m")))
+    rows = found.join(small_arrays(middles, ["more_m", "less_m"], MOST_IDS), "a")
     apart = lambda x, y: F.size(F.array_except(x, y)) + F.size(F.array_except(y, x))
     linked = apart("more", "more_m") + apart("less", "less_m") <= (F.col("n") + F.col("nm")) * part + 1e-9
     most = F.floor(F.col("n") * (1 + 1 / similar) * part + 1e-9)
@@ -203,7 +204,9 @@ def against_middles(found: DataFrame, similar: float) -> DataFrame:
         mark = lambda c, n, more: F.transform(F.slice(c, F.lit(1), n), lambda e, i: F.struct(e.alias("e"), F.lit(more).alias("more"), (F.size(c) - i - 1).alias("left")))
         return F.concat(mark("more", of_more, True), mark("less", of_less, False))
 
-    return rows.select("a", "b", "m", "n", d.alias("d"), F.size("less").alias("r"), linked.alias("linked"), F.when(~linked, first(d - most)).alias("ask"), first(F.greatest(answering, d - most)).alias("answer"))
+    out = stage(rows.select("a", "b", "m", "n", d.alias("d"), F.size("less").alias("r"), linked.alias("linked"), F.when(~linked, first(d - most)).alias("ask"), first(F.greatest(answering, d - most)).alias("answer")))
+    drop(least, middles)
+    return out
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -213,18 +216,20 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     signed = stage(read.mapInArrow(sign, "doc_id long, n long, h1 long, h2 long, bands array<long>"))
     known = signed.where("doc_id IS NOT NULL")
     nameless = stage(signed.where("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of")))
-    first = known.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("copy_of"))
-    copies = stage(known.join(first, ["h1", "h2", "n"], "left").groupBy("doc_id").agg(F.coalesce(F.min("copy_of"), F.col("doc_id")).alias("copy_of")))
-
-    firsts = first.select(F.col("copy_of").alias("doc_id")).distinct()
-    keyed = known.join(firsts, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("key"))
-    crowded = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    multi = stage(keyed.join(crowded, "key").select("key", "doc_id", "size"))
-    central = multi.groupBy("doc_id").agg(F.sum("size").alias("weight"))
-    pivots = multi.join(central, "doc_id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("less"))).alias("top"))
-    buckets = stage(multi.join(pivots, "key").select("doc_id", (-F.col("top.less")).alias("pivot")).distinct())
-    drop(multi)
-    drop(signed)
+    # of multisets that several documents have, the first document: one row a multiset, written before it is joined back
+    first = small(stage(known.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("copy_of"), F.max("doc_id").alias("last")).where("copy_of < last").drop("last")), MOST_IDS)
+    own = known.join(first, ["h1", "h2", "n"], "left").withColumn("copy_of", F.coalesce("copy_of", "doc_id"))
+    pairs = own.groupBy("doc_id", "copy_of").agg(F.lit(0).alias("one")).select("doc_id", "copy_of")
+    copies = stage(pairs.groupBy("doc_id").agg(F.min("copy_of").alias("copy_of"), F.max("copy_of").alias("other")))
+    # an id with several texts links their classes
+    several = copies.where("copy_of < other").select("doc_id", F.col("copy_of").alias("a"))
+    merged = stage(pairs.join(several, "doc_id").where("a < copy_of").select("a", F.col("copy_of").alias("b")).distinct())
+
+    keyed = own.where("n > 0 AND copy_of = doc_id").select("doc_id", F.explode("bands").alias("key"))
+    # buckets of one text end here; of the others the least document is the pivot
+    pivots = small(stage(keyed.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last").drop("last")), MOST_IDS)
+    buckets = stage(keyed.join(pivots, "key").groupBy("doc_id", "pivot").agg(F.lit(0).alias("one")).select("doc_id", "pivot"))
+    drop(signed, first, pivots)
     release_shuffles(spark)
 
     ids = stage(buckets.select("doc_id").distinct())
@@ -234,15 +239,17 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     release_shuffles(spark)
     middle = centred(found, CROWD, CROWD_SAMPLE)
     drop(found)
-    tried = stage(against_middles(middle, similar))
+    tried = against_middles(middle, similar)
     drop(middle)
-    links = stage(tried.where("linked AND b <> m").select(F.col("m").alias("a"), "b"))
+    links = stage(tried.where("linked AND b <> m").select(F.col("m").alias("a"), "b").union(merged))
+    drop(merged)
     release_shuffles(spark)
 
     labels = components(links)
-    placed = tried.join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
+    placed = tried.join(small(labels, MOST_IDS).withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
     asking = placed.where("NOT linked").select("a", "b", "n", "d", "r", "label", F.explode("ask").alias("x")).select("a", "b", "n", "d", "r", "label", "x.*")
-    answers = placed.join(tried.where("NOT linked").select("a").distinct(), "a", "left_semi").select("a", F.col("b").alias("c"), F.col("n").alias("n2"), F.col("d").alias("d2"), F.col("r").alias("r2"), F.col("label").alias("l"), F.explode("answer").alias("x"))
+    open_groups = small(stage(tried.where("NOT linked").select("a").distinct()), MOST_IDS)
+    answers = placed.join(open_groups, "a", "left_semi").select("a", F.col("b").alias("c"), F.col("n").alias("n2"), F.col("d").alias("d2"), F.col("r").alias("r2"), F.col("label").alias("l"), F.explode("answer").alias("x"))
     answers = answers.select("a", "c", "n2", "d2", "r2", "l", "x.e", "x.more", F.col("x.left").alias("left2"))
     sized = F.least("n", "n2") >= similar * F.greatest("n", "n2")
     # what the pair must share at least. Its first shared element leaves so many after it on either side; lost
@@ -251,13 +258,13 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     reason = sized & (shared <= 1 + F.least("left", "left2") + F.when(F.col("more"), F.least("r", "r2")).otherwise(0))
     fresh = stage(asking.join(answers, ["a", "e", "more"]).where((F.col("label") != F.col("l")) & reason).select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct())
     more = stage(links.union(verified(fresh, sets, similar)))
-    drop(labels, fresh)
+    drop(labels, fresh, open_groups)
     release_shuffles(spark)
     labels = components(more)
     drop(more)
     drop(buckets, sets, tried, links)
 
-    classed = copies.join(labels.select(F.col("node").alias("copy_of"), "label"), "copy_of", "left").select("doc_id", F.coalesce("label", "copy_of").alias("class_id"), "copy_of")
+    classed = copies.drop("other").join(small(labels, MOST_IDS).select(F.col("node").alias("copy_of"), "label"), "copy_of", "left").select("doc_id", F.coalesce("label", "copy_of").alias("class_id"), "copy_of")
     out = stage(classed.union(nameless))
     drop(copies, labels, nameless)
     release_shuffles(spark)
