@@ -79,8 +79,11 @@ def errors_focused(entries: DataFrame, size: int) -> DataFrame:
 
 
 def sample(entries: DataFrame, strategy: str = "representative", size: int = 100) -> DataFrame:
-    """A sample of the earliest part of the entries; a strategy of another name runs as representative."""
-    pick = {"diverse": diverse, "chronological": chronological, "errors_focused": errors_focused}.get(strategy, representative)
+    """A sample of the earliest part of the entries; a strategy of another name runs as representative. Errors-focused draws from the earliest errors and the earliest others."""
+    if strategy == "errors_focused":
+        bad, budget = F.coalesce(F.col("level").isin(*ERRORS), F.lit(False)), int(size * 0.7)
+        return errors_focused(population(entries.where(bad), budget).unionByName(population(entries.where(~bad), size - budget)), size).orderBy(*by_time())
+    pick = {"diverse": diverse, "chronological": chronological}.get(strategy, representative)
     return pick(population(entries, size), size).orderBy(*by_time())
 
 

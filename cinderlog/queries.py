@@ -454,12 +454,17 @@ def sample_representative(spark, sf_dir):
     return sampling.sample(events(spark, sf_dir), "representative", 100).select("line_number", "level")
 
 
-@query()
+@query(f"""WITH {_POP}, r AS (SELECT *, count(*) OVER () AS n, row_number() OVER (PARTITION BY message ORDER BY i) AS m, row_number() OVER (PARTITION BY coalesce(thread_id, correlation_id) ORDER BY i) AS t FROM pop),
+k AS (SELECT *, CASE WHEN message <> '' AND m = 1 THEN 0 WHEN t = 1 THEN 1 ELSE 2 END AS kind FROM r)
+SELECT line_number, level FROM k ORDER BY kind, CASE WHEN kind = 2 AND floor(ceil(i * 100 / n::DOUBLE) * n / 100.0) = i THEN 0 ELSE 1 END, i LIMIT 100""")
 def sample_diverse(spark, sf_dir):
     return sampling.sample(events(spark, sf_dir), "diverse", 100).select("line_number", "level")
 
 
-@query()
+@query(f"""WITH {ENTRIES}, r AS (SELECT *, row_number() OVER (PARTITION BY level IN ('ERROR', 'FATAL') ORDER BY "timestamp", file, line_number) - 1 AS k, level IN ('ERROR', 'FATAL') AS bad FROM entries),
+p AS (SELECT *, count(*) OVER (PARTITION BY bad) AS n FROM r WHERE k < CASE WHEN bad THEN 700 ELSE 500 END), t AS (SELECT least(70, count(*) FILTER (bad)) AS e FROM p),
+w AS (SELECT p.*, CASE WHEN bad THEN e ELSE least(n, 100 - e) END AS q FROM p, t)
+SELECT line_number, level FROM w WHERE ceil(k * q / n::DOUBLE) < q AND floor(ceil(k * q / n::DOUBLE) * n / q::DOUBLE) = k""")
 def sample_errors_focused(spark, sf_dir):
     return sampling.sample(events(spark, sf_dir), "errors_focused", 100).select("line_number", "level")
 

@@ -18,7 +18,7 @@ from cinderlog.operators import aggregates, follow, hierarchy, sampling, search
 from cinderlog.operators.predicates import Filters
 from cinderlog.plans.sqlviews import SqlViews
 from cinderlog.sources.formats import formats_for
-from cinderlog.sources.text import expand, read_logs
+from cinderlog.sources.text import expand, read_logs, stamp
 
 MOST_SETS = 10
 
@@ -31,9 +31,9 @@ class FileCache:
 
     def entries(self, spark: SparkSession, paths: Sequence[str], force: str | None = None, custom_regex: str | None = None) -> DataFrame:
         files = expand(paths)
-        stamp = tuple((f, os.path.getmtime(f), os.path.getsize(f)) for f in files)
+        stamps = tuple(stamp(spark, f) for f in files)
         formats = formats_for(files[0]) if files and not (force or custom_regex) else None
-        key = (stamp, force, custom_regex, formats.path and os.path.getmtime(formats.path) if formats else None)
+        key = (stamps, force, custom_regex, formats.path and os.path.getmtime(formats.path) if formats else None)
         if key not in self.kept:
             self.kept[key] = read_logs(spark, files, force, custom_regex, formats=formats).persist(StorageLevel.MEMORY_AND_DISK)
             while len(self.kept) > MOST_SETS:

@@ -6,6 +6,9 @@ costs a few comparisons.
 
 from __future__ import annotations
 
+from functools import lru_cache
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,13 +87,18 @@ def json_text(value: Column) -> Column:
     return F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r'(?s)\A\{"v":(.*)\}\z', 1)
 
 
+def _kind(value: Column) -> Column:
+    return F.schema_of_variant(value)
+
+
 def json_string(value: Column) -> Column:
     """What a JSON string holds; null for another type."""
-    return F.when(value.startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v"))
+    return F.when(_kind(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
 def _number(value: Column) -> Column:
-    return F.when(value.rlike(r"\A-?\d"), value)
+    """A number's JSON text; null for another type."""
+    return F.when((_kind(value) == "BIGINT") | (_kind(value) == "DOUBLE") | _kind(value).startswith("DECIMAL"), F.to_json(value))
 
 
 def let(value: Column, use) -> Column:
@@ -110,25 +118,30 @@ def _fields_left(fields: Column, taken: list[Column]) -> Column:
 
 
 def json_object(raw: Column) -> Column:
-    """The map of a line that is one JSON object and nothing else (the last of equal keys), else null."""
+    """The map of a line that is one JSON object and nothing else (the last of equal keys), else null. Values are variants: only those that are shown become text."""
     t = F.trim(raw)
     strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
     one = F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<map<string,variant>>", strict)
-    return F.when(t.startswith("{") & t.endswith("}"), F.when(F.size(one) == 1, F.transform_values(one[0], lambda _, v: F.coalesce(F.to_json(v), F.lit("null")))))
+    return F.when(t.startswith("{") & t.endswith("}"), F.when(F.size(one) == 1, one[0]))
+
+
+def _texts(obj: Column) -> Column:
+    """The values as JSON text."""
+    return F.transform_values(obj, lambda _, v: F.coalesce(F.to_json(v), F.lit("null")))
 
 
 def _sorted_object(obj: Column) -> Column:
     """The object as compact JSON text with its keys in order."""
     names = F.array_sort(F.map_keys(obj))
-    return F.concat(F.lit("{"), F.array_join(F.transform(names, lambda k: F.concat(json_text(k), F.lit(":"), obj[k])), ","), F.lit("}"))
+    return F.concat(F.lit("{"), F.array_join(F.transform(names, lambda k: F.concat(json_text(k), F.lit(":"), F.coalesce(F.to_json(obj[k]), F.lit("null")))), ","), F.lit("}"))
 
 
 def _json() -> dict[str, Column]:
     obj = F.col("_json")
     texts = lambda f: {k: F.try_element_at(obj, F.lit(k)) for k in KEYS[f]}
     # an unlisted word is UNKNOWN; a word under any key beats a number under any other
-    words = first_of(texts("level"), lambda t: F.when(t.startswith('"'), F.coalesce(word_level(json_string(t)), F.lit("UNKNOWN"))))
-    numbers = first_of(texts("level"), lambda t: number_level(F.when(t.rlike(r"\A\d+\z"), t.try_cast("long"))))
+    words = first_of(texts("level"), lambda t: F.when(_kind(t) == "STRING", F.coalesce(word_level(json_string(t)), F.lit("UNKNOWN"))))
+    numbers = first_of(texts("level"), lambda t: number_level(F.when(_kind(t) == "BIGINT", F.try_variant_get(t, "$", "bigint"))))
     out = {
         "timestamp": first_of(texts("timestamp"), lambda t: F.coalesce(read_timestamp(json_string(t)), epoch_timestamp(_number(t)))),
         "level": F.coalesce(words, numbers),
@@ -239,13 +252,20 @@ def detect(raw: Column, json: Column) -> Column:
     )
 
 
-def parse(lines: DataFrame, force: str | None = None, custom_regex: str | None = None, timestamp_format: str | None = None) -> DataFrame:
-    """Lines (file, line_number, raw) to entries. ``force`` names one of FORMATS; a line that its reader refuses is plain text.
+class _Readers(NamedTuple):
+    """The steps of a parse as columns: each step reads what the one before adds."""
 
-    With ``custom_regex`` lines that match are Custom; the others are plain text.
-    """
+    json: Column
+    format: Column
+    pairs: Column
+    taken: Column
+    entry: list[Column]
+
+
+@lru_cache(maxsize=64)
+def _readers(app: str, force: str | None, custom_regex: str | None, timestamp_format: str | None) -> _Readers:
+    """Columns hold names, not tables, so an application builds them once for each way to parse."""
     raw = F.col("raw")
-    df = lines.select("file", "line_number", "raw").where(~raw.rlike(BLANK)).withColumn("_json", json_object(raw) if custom_regex is None and force in (None, "Json") else F.lit(None).cast("map<string,string>"))
     pattern = to_java(custom_regex) if custom_regex else None
     if pattern:
         found = F.when(raw.rlike(pattern.text), "Custom").otherwise("PlainText")
@@ -255,19 +275,18 @@ def parse(lines: DataFrame, force: str | None = None, custom_regex: str | None =
         fits = {"Json": F.col("_json").isNotNull(), "CommonLog": raw.rlike(COMMON)}.get(force, F.lit(True))
         found = F.when(fits, "PlainText" if force in ("Unknown", "Custom") else force).otherwise("PlainText")
     # a plain line that opens with a priority is syslog after all
-    found = F.when((found == "PlainText") & raw.startswith("<") & raw.rlike(PRIORITY), "Syslog").otherwise(found)
-    df = df.withColumn("format", found)
-    logfmt = _logfmt(raw)
-    df = df.withColumn("_pairs", F.when(F.col("format") == "Logfmt", logfmt.pop("_pairs")))
-    found = _json()
-    df = df.withColumn("_j", F.when(F.col("format") == "Json", F.struct(*[x.alias(f) for f, x in found.items()])))
-    json = {f: F.col(f"_j.{f}.v") for f in found}
+    shape = F.when((found == "PlainText") & raw.startswith("<") & raw.rlike(PRIORITY), "Syslog").otherwise(found)
+    logfmt, json_found = _logfmt(raw), _json()
+    pairs = F.when(F.col("format") == "Logfmt", logfmt.pop("_pairs"))
+    taken = F.when(F.col("format") == "Json", F.struct(*[x.alias(f) for f, x in json_found.items()]))
+    json = {f: F.col(f"_j.{f}.v") for f in json_found}
     json["message"] = F.coalesce(json["message"], _sorted_object(F.col("_json")))
-    json["fields"] = _fields_left(F.col("_json"), [F.col(f"_j.{f}.k") for f in found])
+    json["fields"] = _texts(_fields_left(F.col("_json"), [F.col(f"_j.{f}.k") for f in json_found]))
     readers = {"Json": json, "Syslog": _syslog(raw), "CommonLog": _common(raw), "Logfmt": logfmt, "PlainText": _plain(raw)}
     if pattern:
         readers["Custom"] = _custom(raw, pattern, timestamp_format)
     types = {"timestamp": "timestamp_ntz", "fields": "map<string,string>"}
+    entry = {}
     for name in ("timestamp", "level", "message", *ID_FIELDS, "fields"):
         value = F.lit(None).cast(types.get(name, "string"))
         for fmt, reader in readers.items():
@@ -277,5 +296,19 @@ def parse(lines: DataFrame, force: str | None = None, custom_regex: str | None =
             value = no_id(value)
         if name == "fields":
             value = F.coalesce(value, F.create_map().cast("map<string,string>"))
-        df = df.withColumn(name, value)
-    return df.select(*COLUMNS)
+        entry[name] = value
+    reads_json = custom_regex is None and force in (None, "Json")
+    return _Readers(json_object(raw) if reads_json else F.lit(None).cast("map<string,variant>"), shape, pairs, taken, [entry.get(c, F.col(c)).alias(c) for c in COLUMNS])
+
+
+def parse(lines: DataFrame, force: str | None = None, custom_regex: str | None = None, timestamp_format: str | None = None) -> DataFrame:
+    """Lines (file, line_number, raw) to entries. ``force`` names one of FORMATS; a line that its reader refuses is plain text.
+
+    With ``custom_regex`` lines that match are Custom; the others are plain text.
+    """
+    r = _readers(lines.sparkSession.sparkContext.applicationId, force, custom_regex, timestamp_format)
+    filled = lines.select("file", "line_number", "raw").where(~F.col("raw").rlike(BLANK))
+    # an array of one, exploded: a filter on a column above cannot be written out down here, which would parse a line once a mention
+    read = filled.select("*", F.explode(F.array(r.json)).alias("_json")).select("*", r.format.alias("format"))
+    known = read.select("file", "line_number", "raw", "_json", F.explode(F.array(F.struct("format", r.pairs.alias("_pairs"), r.taken.alias("_j")))).alias("_r"))
+    return known.select("file", "line_number", "raw", "_json", "_r.*").select(*r.entry)

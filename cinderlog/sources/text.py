@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import glob
 import os
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,15 +17,76 @@ from pyspark.sql import functions as F
 from cinderlog.sources.formats import UserFormats
 from cinderlog.sources.parse import parse
 
+#: Offsets of blocks are broadcast up to so many blocks, some 20 MB; beyond, lines and offsets are joined by shuffles.
+MOST_BLOCKS, LEAST_BLOCK = 200_000, 4 << 20
+
+
+def _system(spark: SparkSession, path: str):
+    """The Hadoop path and the file system that it is in: local, of the cluster or of an object store."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def _plain(path: str) -> str:
+    return re.sub(r"\Afile:/*", "/", path)
+
+
+def _deep(pattern: str) -> re.Pattern[str]:
+    """A pattern with ``**`` (any folders) over a path without its scheme."""
+    parts = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    out = "".join(parts.get(x) or (("[" + ("^" + x[2:] if x[1] == "!" else x[1:])) if len(x) > 2 and x[0] == "[" else re.escape(x)) for x in re.findall(r"\*\*/|\*\*|\*|\?|\[[^\]]+\]|.", pattern, re.S))
+    return re.compile(out, re.S)
+
+
+def _found(spark: SparkSession, pattern: str) -> list[str]:
+    if "**" not in pattern:
+        where, system = _system(spark, pattern)
+        return [_plain(x.getPath().toString()) for x in system.globStatus(where) or [] if x.isFile()]
+    base = pattern[: re.search(r"[*?\[]", pattern).start()].rpartition("/")[0] or ("/" if pattern.startswith("/") else ".")
+    where, system = _system(spark, base)
+    if not system.exists(where):
+        return []
+    bare = lambda x: x.toUri().getPath()
+    root, fits = bare(system.makeQualified(where)).rstrip("/"), _deep(pattern[len(base) :].lstrip("/") if base != "." else pattern)
+    files, out = system.listFiles(where, True), []
+    while files.hasNext():
+        at = files.next().getPath()
+        if fits.fullmatch(bare(at)[len(root) :].lstrip("/")):
+            out.append(_plain(at.toString()))
+    return out
+
 
 def expand(patterns: Sequence[str]) -> list[str]:
-    """Local glob patterns as a sorted list of files, each once; a plain path stays."""
-    found: set[str] = set()
+    """Patterns as a sorted list of files, each once; a plain path stays. In a session, paths are those of Spark's file systems (``hdfs://``, ``s3a://`` ...)."""
+    spark, found = SparkSession.getActiveSession(), set()
     for p in patterns:
-        found.update(x for x in glob.glob(p, recursive=True) if os.path.isfile(x)) if glob.has_magic(p) else found.add(p)
+        if not glob.has_magic(p):
+            found.add(p)
+        elif spark is None:
+            found.update(x for x in glob.glob(p, recursive=True) if os.path.isfile(x))
+        else:
+            found.update(x for x in _found(spark, p) if not x.rpartition("/")[2].startswith(".") or p.rpartition("/")[2].startswith("."))
     return sorted(found)
 
 
+def stamp(spark: SparkSession, path: str) -> tuple[str, int, int]:
+    """A path with its time of change and length."""
+    where, system = _system(spark, path)
+    status = system.getFileStatus(where)
+    return path, status.getModificationTime(), status.getLen()
+
+
+def _few_blocks(spark: SparkSession, paths: Sequence[str]) -> bool:
+    blocks = len(paths)
+    for p in paths:
+        if blocks > MOST_BLOCKS or glob.has_magic(p):
+            return False
+        where, system = _system(spark, p)
+        held = system.getContentSummary(where)
+        blocks += held.getLength() // LEAST_BLOCK + held.getFileCount()
+    return blocks <= MOST_BLOCKS
+
+
 def numbered_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """(file, line_number, raw): lines end at a newline only, one carriage return before it is dropped, blank lines count."""
     read = spark.read.option("lineSep", "\n").text(list(paths))
@@ -37,6 +99,8 @@ def numbered_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     blocks = lines.groupBy("file", "_block").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
     before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select(F.col("file").alias("_file"), F.col("_block").alias("_at"), "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    # lines then stay where they are read
+    offsets = F.broadcast(offsets) if _few_blocks(spark, paths) else offsets
     joined = lines.join(offsets, (F.col("file") == F.col("_file")) & (F.col("_block") == F.col("_at")))
     return joined.select("file", (F.col("_place") - F.col("_first") + F.col("_before") + 1).alias("line_number"), "raw")
 
