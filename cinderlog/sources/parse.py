@@ -107,9 +107,14 @@ def let(value: Column, use) -> Column:
 
 
 def first_of(texts: dict[str, Column], read) -> Column:
-    """Struct (k, v) of the first key whose text ``read`` gives a value for, else null."""
-    each = F.array(*[F.struct(F.lit(k).alias("k"), t.alias("t")) for k, t in texts.items()])
-    return F.try_element_at(F.filter(F.transform(each, lambda x: F.struct(x["k"].alias("k"), read(x["t"]).alias("v"))), lambda y: y["v"].isNotNull()), F.lit(1))
+    """Struct (k, v) of the first key whose text ``read`` gives a value for, else null. Most lines have the first key or none: others are looked at only where they are."""
+    (key, text), *rest = texts.items()
+    found = F.when(read(text).isNotNull(), F.struct(F.lit(key).alias("k"), read(text).alias("v")))
+    if not rest:
+        return found
+    each = F.array(*[F.struct(F.lit(k).alias("k"), t.alias("t")) for k, t in rest])
+    later = F.try_element_at(F.filter(F.transform(each, lambda x: F.struct(x["k"].alias("k"), read(x["t"]).alias("v"))), lambda y: y["v"].isNotNull()), F.lit(1))
+    return found.when(F.coalesce(*[t for _, t in rest]).isNotNull(), later)
 
 
 def _fields_left(fields: Column, taken: list[Column]) -> Column:
@@ -309,6 +314,5 @@ def parse(lines: DataFrame, force: str | None = None, custom_regex: str | None =
     r = _readers(lines.sparkSession.sparkContext.applicationId, force, custom_regex, timestamp_format)
     filled = lines.select("file", "line_number", "raw").where(~F.col("raw").rlike(BLANK))
     # an array of one, exploded: a filter on a column above cannot be written out down here, which would parse a line once a mention
-    read = filled.select("*", F.explode(F.array(r.json)).alias("_json")).select("*", r.format.alias("format"))
-    known = read.select("file", "line_number", "raw", "_json", F.explode(F.array(F.struct("format", r.pairs.alias("_pairs"), r.taken.alias("_j")))).alias("_r"))
-    return known.select("file", "line_number", "raw", "_json", "_r.*").select(*r.entry)
+    read = filled.select("*", F.explode(F.array(r.json)).alias("_json"))
+    return read.select("*", r.format.alias("format")).select("*", r.pairs.alias("_pairs"), r.taken.alias("_j")).select(*r.entry)
