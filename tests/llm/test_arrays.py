@@ -227,3 +227,59 @@ def test_codebook_lowers_parallel_error():
 def test_chosen_prefers_first_of_equals():
     scores = np.asarray([[1.0, 5, 5, 5, 5, 9]])
     assert sorted(ann.chosen(scores, 3)[0].tolist()) == [1, 2, 5]
+
+
+def test_long_repeats_are_settled_by_high_symbols():
+    rng = random.Random(9)
+    passage = [f"p{rng.randrange(300)}" for _ in range(200)]
+    texts = [" ".join([f"x{i}y{k}" for k in range(40)] + passage + [f"z{i}y{k}" for k in range(40)]) for i in range(2)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([0, 0], pa.int32()), pa.array(texts)], ["doc_id", "nth", "text"])
+    (keys,) = recompress.reveal(iter([batch]))
+    rows = {}
+    for c in ("highs", "lows"):
+        a, b = (set(x) for x in keys.column(c).to_pylist())
+        rows[c] = a & b
+    asked = {}
+    for name, highs in (("all", rows["highs"]), ("none", set())):
+        lists = [pa.array([[], list(x)], pa.list_(pa.int64())) for x in (highs, rows["lows"])]
+        (out,) = recompress.candidates(iter([pa.RecordBatch.from_arrays([*batch.columns, *lists], ["doc_id", "nth", "text", "highs", "lows"])]))
+        asked[name] = out.to_pylist()
+    ranges = [r for r in asked["all"] if r["h1"] is None]
+    windows = {name: [r["place"] for r in found if r["h1"] is not None] for name, found in asked.items()}
+    # one range stands for most of the passage, and only its ends are looked up window by window
+    assert len(ranges) == 1 and 130 < ranges[0]["size"] <= 200 and 40 <= ranges[0]["place"]
+    assert len(windows["none"]) >= 188 and len(windows["all"]) < 0.4 * len(windows["none"])
+    inside = set(range(ranges[0]["place"], ranges[0]["place"] + ranges[0]["size"] - 12))
+    assert not inside & set(windows["all"])
+
+
+def test_pooled_equals_word_by_word():
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(quality.BUCKETS, quality.DIM)).astype(np.float32)
+    texts = ["one two two three one one", "", "A" * 90 + " b!! b!!", "x"]
+    got = quality.pooled(_scan(texts), vectors)
+    for t, row in zip(texts, got, strict=True):
+        words = [vectors[list(quality.word_features(x))].sum(axis=0) for x in t.encode().split()]
+        if not words:
+            assert not row.any()
+            continue
+        x, raw = np.asarray(words), t.split()
+        n = len(raw)
+        alike = [sum(raw[i] == raw[i - k] for i in range(k, n)) / n for k in (1, 2)] + [sum(float(x[i] @ x[i - 1]) for i in range(1, n)) / n]
+        assert np.allclose(row, [*x.mean(axis=0), *np.sqrt(np.maximum((x * x).mean(axis=0) - x.mean(axis=0) ** 2, 0)), *alike, np.log1p(n)], atol=2e-2, rtol=1e-3)
+
+
+def test_long_words_differ_by_their_ends():
+    assert quality.word_features(b"a" * 70 + b"b") != quality.word_features(b"a" * 70 + b"c")
+    encoder = fertility.Encoder(fertility.TOKENIZERS)
+    word = ("Donaudampfschifffahrt" * 40).encode()
+    ids, counts, n = encoder.words([1], [word])
+    assert ids.tolist() == encoder.piece.encode(word.decode()) and counts.tolist() == [len(ids)] and n.tolist() == [len(encoder.byte.encode_ordinary(" " + word.decode()))]
+
+
+def test_conjugate_gradients_solve():
+    rng = np.random.default_rng(0)
+    a = rng.normal(size=(20, 20))
+    a = a @ a.T + 20 * np.eye(20)
+    b = rng.normal(size=20)
+    assert np.allclose(a @ ann._solved(lambda v: a @ v, b, np.zeros(20), np.diag(a).copy()), b, atol=1e-6)

@@ -291,12 +291,15 @@ def test_unquoted_values_after_names_are_found(docs_of):
 
 def test_forest_in_sql_equals_its_trees(spark):
     trees, names = secrets.forest(spark), list(secrets.FEATURES)
-    rows = spark.createDataFrame(secrets.labelled_findings(seed=99), "b string, t string, a string, p string, y int").withColumn("x", F.expr(secrets.features_sql("t", "b", "a", "p")))
-    mean = "(" + " + ".join(secrets.as_sql(t, names) for t in trees) + f") / {len(trees)}D"
-    got = rows.select("x", "y", F.expr(f"transform(array(x), x -> {mean})[0]").alias("score")).collect()
+    rows = spark.createDataFrame(secrets.labelled_findings(seed=99), "b string, t string, a string, p string, y int")
+    got = secrets.found_in(rows).where("x IS NOT NULL").select("x", "y", "cand", F.expr(f"transform(array(x), x -> {secrets.mean_sql(trees)})[0]").alias("score")).collect()
     right = 0
     for r in got:
         assert r["score"] == pytest.approx(sum(_tree(t, r["x"], names) for t in trees) / len(trees))
+        c, x = r["cand"], r["x"]
+        share = lambda keep, c=c: sum(map(keep, c)) / len(c)
+        assert x["len"] == len(c) and x["digits"] == pytest.approx(share(lambda k: k in "0123456789")) and x["upper"] == pytest.approx(share(lambda k: "A" <= k <= "Z"))
+        assert x["marks"] == pytest.approx(share(lambda k: not k.isalnum())) and x["kinds"] == pytest.approx(len(set(c)) / min(len(c), 40)) and x["slashes"] == pytest.approx(c.count("/") / len(c)) and x["dots"] == pytest.approx(c.count(".") / len(c))
         right += (r["score"] >= 0.5) == bool(r["y"])
     assert right / len(got) > 0.95
 
