@@ -2,14 +2,14 @@
 
 A node is a group of entries: of one span, else thread, else correlation, else a single entry. Children
 come from explicit parents over all entries; a node without any may get children by name
-(``worker-1`` over ``worker-1.task``). The edges are walked level by level with a guard against
+(``worker-1`` over ``worker-1.task``). A recursive query walks the edges with a guard against
 cycles: a node that is its own ancestor is not repeated, where an unguarded walk would go on to its
 depth limit.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -20,8 +20,6 @@ from cinderlog.plans.joins import prefixes
 from cinderlog.schema import POSITION, micros
 
 MAX_DEPTH = 50
-#: A request's tables are broadcast up to so many rows.
-FEW = 100_000
 SEPARATORS = ".:-"
 
 
@@ -85,44 +83,32 @@ def child_members(entries: DataFrame, naming: bool = True) -> DataFrame:
     return explicit.unionByName(guessed.where("parent_key <> child_key")).distinct()
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """A kept table with a broadcast hint if it has at most FEW rows."""
-    return F.broadcast(df) if df.count() <= FEW else df
-
-
 def _walk(roots: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
-    """(key, parent_key, path, depth) of every node reached from the roots, kept. Each step joins the kept edges with the last level alone."""
-    level = roots.distinct().select("key", F.lit(None).cast("string").alias("parent_key"), F.array("key").alias("path"), F.lit(0).alias("depth")).persist(StorageLevel.MEMORY_AND_DISK)
-    levels = [level]
-    for depth in range(1, max_depth + 1):
-        above = level.select(F.col("key").alias("above"), F.col("path").alias("up"))
-        step = edges.join(_few(above), F.col("parent_key") == F.col("above")).where(~F.array_contains("up", F.col("child_key")))
-        step = step.select(F.col("child_key").alias("key"), "parent_key", F.array_append("up", F.col("child_key")).alias("path"), F.lit(depth).alias("depth")).distinct()
-        level = step.persist(StorageLevel.MEMORY_AND_DISK)
-        if level.isEmpty():
-            level.unpersist()
-            break
-        levels.append(level)
-    tree = reduce(DataFrame.union, levels).persist(StorageLevel.MEMORY_AND_DISK)
-    tree.count()
-    for x in levels:
-        x.unpersist()
-    return tree
+    """(key, parent_key, path, depth) of every node reached from the roots."""
+    spark, tag = roots.sparkSession, uuid.uuid4().hex
+    roots.createOrReplaceTempView(f"roots_{tag}")
+    edges.createOrReplaceTempView(f"edges_{tag}")
+    return spark.sql(f"""
+        WITH RECURSIVE tree(key, parent_key, path, depth) MAX RECURSION LEVEL {max_depth + 2} AS (
+          SELECT key, CAST(NULL AS STRING), array(key), 0 FROM roots_{tag}
+          UNION ALL
+          SELECT e.child_key, t.key, array_append(t.path, e.child_key), t.depth + 1 FROM tree t JOIN edges_{tag} e ON t.key = e.parent_key
+          WHERE t.depth < {max_depth} AND NOT array_contains(t.path, e.child_key))
+        SELECT * FROM tree""")
 
 
 def nodes(entries: DataFrame, identifier: str, naming: bool = True, temporal: bool = False, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """The node table of an id's tree: key, node_type, id, parent_key, path, depth, facts, confidence, evidence, in pre-order. One request's table: it stays kept, for it is read several times."""
+    """The node table of an id's tree: key, node_type, id, parent_key, path, depth, facts, confidence, evidence, in pre-order."""
     found = root_entries(entries, identifier).withColumn("key", group_key())
     at = F.struct(*POSITION)
     groups = found.groupBy("key").agg(F.min_by("parent_span_id", F.when(F.col("parent_span_id").isNotNull(), at)).alias("parent"))
     roots = span_roots(groups)
-    # two names and a place of each child entry: read from the logs once, then once a level from here
-    members = child_members(entries, naming).persist(StorageLevel.MEMORY_AND_DISK)
-    tree = _walk(roots, members, max_depth)
+    members = child_members(entries, naming)
+    # one request's tree is small and read several times; the walk over all edges runs once
+    tree = _walk(roots, members.select("parent_key", "child_key").distinct(), max_depth).persist(StorageLevel.MEMORY_AND_DISK)
     root_facts = found.groupBy("key").agg(*node_facts()).withColumn("parent_key", F.lit(None).cast("string"))
     reached = tree.where("parent_key IS NOT NULL").select("parent_key", F.col("key").alias("child_key")).distinct()
-    places = members.join(_few(reached), ["parent_key", "child_key"]).persist(StorageLevel.MEMORY_AND_DISK)
-    kid_facts = entries.join(_few(places), list(POSITION)).groupBy("parent_key", F.col("child_key").alias("key")).agg(*node_facts())
+    kid_facts = members.join(reached, ["parent_key", "child_key"]).join(entries, list(POSITION)).groupBy("parent_key", F.col("child_key").alias("key")).agg(*node_facts())
     facts = root_facts.unionByName(kid_facts)
     joined = tree.alias("t").join(facts.alias("f"), F.expr("t.key = f.key AND t.parent_key <=> f.parent_key")).select("t.*", *[F.col(f"f.{c}") for c in facts.columns if c not in ("key", "parent_key")])
     explicit = F.col("parent_span_id").isNotNull()
@@ -131,11 +117,8 @@ def nodes(entries: DataFrame, identifier: str, naming: bool = True, temporal: bo
     typed = joined.select(
         "key", F.initcap(F.substring_index("key", ":", 1)).alias("node_type"), F.expr("substr(key, instr(key, ':') + 1)").alias("id"), "parent_key", "path", "depth", "name", "service", "start_time", "end_time",
         "duration_ms", "entry_count", "error_count", "parent_span_id", confidence.alias("confidence"), F.when(explicit, F.array(F.lit("explicit_parent_span_id"))).otherwise(guess).alias("evidence"), "first_at",
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-    typed.count()
-    for x in (members, places, tree):
-        x.unpersist()
-    return in_pre_order(typed)
+    )
+    return in_pre_order(typed.persist(StorageLevel.MEMORY_AND_DISK))
 
 
 def in_pre_order(table: DataFrame) -> DataFrame:
@@ -222,17 +205,21 @@ def recommendations(table: DataFrame) -> DataFrame:
     first_cause: the deepest, earliest root cause, and its depth. outside_call: that cause calls nothing further. cascade: nodes in chains of
     errors. together: causes side by side at one depth. wide: the part of all nodes hit, in per cent, beyond half.
     """
-    causes = root_causes(table).limit(1).select("id", "depth", "is_leaf")
-    cascade = propagation(table).agg(F.sum("length").cast("double").alias("n"))
-    facts = impact(table)
-    rule = lambda place, name: (F.lit(place).alias("place"), F.lit(name).alias("rule"))
-    nobody, depth = F.lit(None).cast("string").alias("node"), F.col("depth").cast("double").alias("number")
-    found = causes.select(*rule(1, "first_cause"), F.col("id").alias("node"), depth)
-    found = found.union(causes.where("is_leaf").select(*rule(2, "outside_call"), F.col("id").alias("node"), depth))
-    found = found.union(cascade.where("n > 0").select(*rule(3, "cascade"), nobody, F.col("n").alias("number")))
-    found = found.union(facts.where("concurrent_failures > 1").select(*rule(4, "together"), nobody, F.col("concurrent_failures").cast("double").alias("number")))
-    found = found.union(facts.where("affected > 0 AND affected_percentage > 50").select(*rule(5, "wide"), nobody, F.col("affected_percentage").cast("double").alias("number")))
-    return found.orderBy("place")
+    # three single rows come to the driver
+    cause, facts = root_causes(table).select("id", "depth", "is_leaf").first(), impact(table).first()
+    cascade = propagation(table).agg(F.sum("length")).first()[0]
+    found = []
+    if cause:
+        found.append((1, "first_cause", cause["id"], float(cause["depth"])))
+        if cause["is_leaf"]:
+            found.append((2, "outside_call", cause["id"], float(cause["depth"])))
+    if cascade:
+        found.append((3, "cascade", None, float(cascade)))
+    if facts["concurrent_failures"] > 1:
+        found.append((4, "together", None, float(facts["concurrent_failures"])))
+    if facts["affected"] and facts["affected_percentage"] > 50:
+        found.append((5, "wide", None, float(facts["affected_percentage"])))
+    return table.sparkSession.createDataFrame(found, "place int, rule string, node string, number double").orderBy("place")
 
 
 def secondary_bottlenecks(table: DataFrame, threshold: float = 20.0, most: int = 4) -> DataFrame:

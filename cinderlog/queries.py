@@ -461,10 +461,10 @@ def sample_diverse(spark, sf_dir):
     return sampling.sample(events(spark, sf_dir), "diverse", 100).select("line_number", "level")
 
 
-@query(f"""WITH {ENTRIES}, r AS (SELECT *, row_number() OVER (PARTITION BY level IN ('ERROR', 'FATAL') ORDER BY "timestamp", file, line_number) - 1 AS k, level IN ('ERROR', 'FATAL') AS bad FROM entries),
-p AS (SELECT *, count(*) OVER (PARTITION BY bad) AS n FROM r WHERE k < CASE WHEN bad THEN 700 ELSE 500 END), t AS (SELECT least(70, count(*) FILTER (bad)) AS e FROM p),
+@query(f"""WITH {ENTRIES}, r AS (SELECT *, row_number() OVER (PARTITION BY level IN ('ERROR', 'FATAL') ORDER BY "timestamp", file, line_number) - 1 AS nth, level IN ('ERROR', 'FATAL') AS bad FROM entries),
+p AS (SELECT *, count(*) OVER (PARTITION BY bad) AS n FROM r WHERE nth < CASE WHEN bad THEN 700 ELSE 500 END), t AS (SELECT least(70, count(*) FILTER (bad)) AS e FROM p),
 w AS (SELECT p.*, CASE WHEN bad THEN e ELSE least(n, 100 - e) END AS q FROM p, t)
-SELECT line_number, level FROM w WHERE ceil(k * q / n::DOUBLE) < q AND floor(ceil(k * q / n::DOUBLE) * n / q::DOUBLE) = k""")
+SELECT line_number, level FROM w WHERE ceil(nth * q / n::DOUBLE) < q AND floor(ceil(nth * q / n::DOUBLE) * n / q::DOUBLE) = nth""")
 def sample_errors_focused(spark, sf_dir):
     return sampling.sample(events(spark, sf_dir), "errors_focused", 100).select("line_number", "level")
 
