@@ -23,7 +23,8 @@ where twelve words beside them are equal. Words are not compared again.
 A document equal as a whole to an earlier one is settled by its digest: all of it goes if it holds a
 window, and it reveals nothing. Keys are pre-aggregated to their least and largest document before a shuffle. What
 they are joined back to is a written table of one row a key: broadcast up to a checked number of rows, and beyond it
-a sort-merge join right on two shuffles, which Spark splits where a key is hot.
+a sort-merge join right on two shuffles, which Spark splits where a key is hot, after rows that meet nothing are sieved out
+by a bitmap of fixed size. Texts that share no key, and those that lose no word, are not shuffled but for its false positives.
 
 Defined results: null text has no words; a null doc_id neither loses words nor takes any from others;
 rows of equal id never take words from each other, and each has its own result; texts under WIDTH words stay; an empty table
@@ -40,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cinderlog.llm.sieve import marked, met, sieved
 from cinderlog.llm.stages import bounded_batches, drop, release_shuffles, small, stage
 from cinderlog.llm.words import Words, mix64, pieces, scan, text_of, utf8, window_names
 
@@ -292,28 +294,31 @@ def dedup(docs: DataFrame) -> DataFrame:
     symbols = live.select("doc_id", "nth", F.explode(F.arrays_zip(F.col("highs").alias("key"), F.col("checks").alias("check"))).alias("x")).select("doc_id", "nth", "x.key", "x.check")
     shared = small(stage(symbols.groupBy("key", "check").agg(*ends).where("lo < hi").select("key", "check", "lo")), MOST_KEYS)
     release_shuffles(spark)
-    highs = stage(symbols.join(shared, ["key", "check"]).where("lo < doc_id").groupBy("doc_id", "nth").agg(F.collect_set("key").alias("highs")))
+    highs = stage(met(symbols, shared, ["key", "check"]).where("lo < doc_id").groupBy("doc_id", "nth").agg(F.collect_set("key").alias("highs")))
     drop(shared)
     windows = live.select("doc_id", "nth", F.explode("lows").alias("key"))
     shared = small(stage(windows.groupBy("key").agg(*ends).where("lo < hi").select("key")), MOST_KEYS)
     release_shuffles(spark)
-    lows = windows.join(shared, "key").groupBy("doc_id", "nth").agg(F.collect_set("key").alias("lows"))
+    lows = met(windows, shared, ["key"]).groupBy("doc_id", "nth").agg(F.collect_set("key").alias("lows"))
     per_doc = stage(lows.join(highs, ["doc_id", "nth"], "left"))
     drop(shared, highs, keyed)
     release_shuffles(spark)
 
-    asked = read.join(per_doc, ["doc_id", "nth"]).select("doc_id", "nth", "text", "highs", "lows")
+    asked = sieved(read, per_doc, ["doc_id"]).join(per_doc, ["doc_id", "nth"]).select("doc_id", "nth", "text", "highs", "lows")
     found = stage(asked.mapInArrow(candidates, "doc_id long, nth int, place int, size int, h1 long, h2 int"))
     drop(per_doc)
     release_shuffles(spark)
 
     windows = found.where("h1 IS NOT NULL")
     owners = small(stage(windows.groupBy("h1", "h2").agg(*ends).where("lo < hi").select("h1", "h2", "lo")), MOST_KEYS)
-    cuts = windows.join(owners, ["h1", "h2"]).where("lo < doc_id").select("doc_id", "nth", "place", "size")
+    cuts = met(windows, owners, ["h1", "h2"]).where("lo < doc_id").select("doc_id", "nth", "place", "size")
     later = stage(cuts.union(found.where("h1 IS NULL").select("doc_id", "nth", "place", "size")).groupBy("doc_id", "nth").agg(F.collect_list(F.struct("place", "size")).alias("cuts")))
     drop(found, owners)
     release_shuffles(spark)
     changes = stage(copies.join(later, ["doc_id", "nth"], "full_outer"))
     drop(later, copies)
-    joined = read.join(changes, ["doc_id", "nth"], "left").select("doc_id", "text", F.col("cuts.place").alias("places"), F.col("cuts.size").alias("sizes"), "copy")
-    return joined.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_text string")
+    # only texts that may lose words meet their cuts; all others stay where they are read
+    tested = marked(read, changes, ["doc_id"])
+    cut = tested.where("_may").join(changes, ["doc_id", "nth"], "left").select("doc_id", "text", F.col("cuts.place").alias("places"), F.col("cuts.size").alias("sizes"), "copy")
+    uncut = tested.where("NOT _may").select("doc_id", "text", *[F.lit(None).cast(cut.schema[c].dataType).alias(c) for c in ("places", "sizes", "copy")])
+    return cut.union(uncut).mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_text string")

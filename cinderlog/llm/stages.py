@@ -115,7 +115,7 @@ def packed(df: DataFrame) -> DataFrame:
 
 def _hinted(df: DataFrame) -> DataFrame:
     out = F.broadcast(df)
-    out._stage_path = getattr(df, "_stage_path", None)
+    out._stage_path, out._hinted = getattr(df, "_stage_path", None), True
     return out
 
 
