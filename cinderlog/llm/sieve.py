@@ -40,5 +40,5 @@ def sieved(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
 
 
 def met(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
-    """Inner join of ``rows`` with a table of one row a key, as ``stages.small`` returns it: rows are sieved unless it is broadcast."""
-    return (rows if getattr(table, "_hinted", False) else sieved(rows, table, on)).join(table, on)
+    """Inner join of ``rows`` with a table of one row a key. Rows are sieved at every size, also where the table is broadcast: one plan, one growth."""
+    return sieved(rows, table, on).join(table, on)
