@@ -68,6 +68,24 @@ def time_buckets(points: DataFrame, width: str) -> DataFrame:
 
 
 def rolling(points: DataFrame, seconds: int) -> DataFrame:
-    """Each point with the number and mean of its series' points in the window before it, itself included."""
-    order = Window.partitionBy("field_name").orderBy(micros(F.col("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return points.where("timestamp IS NOT NULL").withColumn("n_near", F.count("*").over(order)).withColumn("avg_near", F.round(F.avg("value").over(order), 6))
+    """Each point with the number and mean of its series' points in the window before it, itself included.
+
+    Time is cut into spans as long as the window, so a window is its own span's points so far and the later ones of the
+    span before, which are sent on a window later. Both are running sums, and nothing is subtracted: work does not grow
+    with the points in a window, and spans are computed side by side.
+    """
+    width = seconds * 1_000_000
+    timed = points.where("timestamp IS NOT NULL")
+    at = micros(F.col("timestamp"))
+    own = timed.withColumns({"_at": at, "_held": F.col("value"), "_own": F.lit(True)})
+    sent = timed.select("field_name", (at + width).alias("_at"), F.col("value").alias("_held"), F.lit(False).alias("_own"))
+    both = own.unionByName(sent, allowMissingColumns=True).withColumn("_span", F.col("_at") - F.pmod(F.col("_at"), F.lit(width)))
+
+    def sums(of: Column, order: Column) -> Column:
+        so_far = Window.partitionBy("field_name", "_span").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        held = F.when(of, F.col("_held"))
+        return F.struct(F.count_if(of).over(so_far).alias("n"), F.count(held).over(so_far).alias("known"), F.coalesce(F.sum(held).over(so_far), F.lit(0.0)).alias("total"))
+
+    found = both.withColumn("_late", sums(~F.col("_own"), F.desc("_at"))).withColumn("_early", sums(F.col("_own"), F.asc("_at"))).where("_own")
+    of = lambda c: F.col(f"_late.{c}") + F.col(f"_early.{c}")
+    return found.select(*[found[f"`{c}`"] for c in points.columns], of("n").alias("n_near"), F.round(F.try_divide(of("total"), of("known")), 6).alias("avg_near"))

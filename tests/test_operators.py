@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+import random
 import re
 from datetime import datetime
 
@@ -149,6 +150,28 @@ def test_sensor_numbers(spark):
     assert [b["n"] for b in buckets] == [5, 5, 5, 5]
 
 
+def test_rolling_is_that_of_plain_python_without_a_moving_frame(spark, capsys):
+    rng, us = random.Random(4), 3_600_000_000
+    # ties, windows' very ends, times before 1970, null values and times, several series and names that clash
+    times = [-us, -1, 0, 1, us - 1, us, us + 1, 2 * us, 2 * us + 1] + [rng.randrange(-3 * us, 6 * us) for _ in range(200)] + [us // 2] * 5
+    rows = [(f"s{i % 2}", i, t, None if i % 7 == 3 else rng.randrange(1000) / 4) for i, t in enumerate(times)] + [("s0", 999, None, 1.0), ("empty", 1000, 5, None)]
+    points = spark.createDataFrame(rows, "field_name string, line_number long, us long, value double")
+    points = points.select("field_name", "line_number", F.timestamp_add("MICROSECOND", "us", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")).alias("timestamp"), "value", F.lit(1).alias("at.x"))
+    found = metrics.rolling(points, 3600)
+    assert found.columns == [*points.columns, "n_near", "avg_near"]
+    want = {}
+    for name, i, t, _ in rows:
+        if t is not None:
+            near = [v for f, _, u, v in rows if f == name and u is not None and t - us <= u <= t]
+            known = [v for v in near if v is not None]
+            want[i] = (len(near), round(sum(known) / len(known), 6) if known else None)
+    got = {r["line_number"]: (r["n_near"], r["avg_near"]) for r in found.collect()}
+    assert got.keys() == want.keys() and all(got[i][0] == n and got[i][1] == pytest.approx(m, abs=2e-6) for i, (n, m) in want.items())
+    found.explain()
+    frames = re.findall(r"RangeFrame, ([^,]+),", capsys.readouterr().out)
+    assert frames and set(frames) == {"unboundedpreceding$()"}
+
+
 _FIELD = r"[^\Wa-zA-Z_]*(?P<f>[a-zA-Z_]\w*)\s*[=:]\s*(?P<v>-?\d+(?:\.\d+)?)\s*(?P<u>ms|s|us|ns|MB|GB|KB|kPa|°[CF]|%|rpm|Hz)?"
 
 
