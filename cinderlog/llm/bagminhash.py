@@ -17,8 +17,11 @@ most room: a pair of |x| + |y| shingles may differ in p (|x| + |y|) of them, and
 p |x| - |D(x)|. That and the following lose no link: two texts that share nothing of D are linked only
 if their rooms add up to 0 or more, and then each is linked with m, whose room is no less. So a text too
 far from m can only be close to a y with which it shares a part of D(y), whose least size follows from
-the sizes of D; and if it shares nothing of A(y), that much of R(y). Such pairs are found by equal elements among the first ones of both
-sides (prefix filtering), if the two are not in one component yet, and verified. Every link is
+the sizes of D; and if it shares nothing of A(y), that much of R(y). Such pairs meet at equal elements among the first ones of both
+sides (prefix filtering). Elements at which the same texts meet count once. Up to ``FEW`` texts that meet are paired,
+if they are not in one component yet, and verified; more are a group again, of a centre and a middle of their own. All
+of them have the element they met at, so it is in that centre, and what they meet at next fewer have: about half at
+most. No set of texts, however large, is paired with itself. Every link is
 verified on whole multisets: overlap at least ``SIMILAR`` of the union. Components are found in Spark.
 
 Defined results: a null or wordless text is a class of its own, as is a row of null id (class null);
@@ -29,6 +32,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +48,8 @@ SHINGLE, SIMILAR, REGISTERS, BANDS = 5, 0.8, 128, 32
 ROWS = REGISTERS // BANDS
 #: Groups of so many texts get a centre of their own, from a sample of about CROWD_SAMPLE of them; what OFTEN or more of these have is often.
 CROWD, CROWD_SAMPLE, OFTEN = 8, 256, 3
+#: So many texts that meet at an element are paired; more are a group again. Above CROWD, so that such groups have centres.
+FEW, FEW_SAMPLE = 64, 32
 #: Lists of ids are broadcast up to this length, about 16 MB; beyond, joins are shuffled.
 MOST_IDS = 500_000
 _TINY = np.uint64(0x9E3779B97F4A7C15)
@@ -155,11 +161,11 @@ def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return _both(pairs, sets).select("a", "b", F.size("of_b").alias("n"), F.array_except("of_b", "of_a").alias("added"), F.array_except("of_a", "of_b").alias("removed"))
 
 
-def centred(found: DataFrame, crowd: int, sample: int) -> DataFrame:
+def centred(found: DataFrame, crowd: int, sample: int, seed: int = 8) -> DataFrame:
     """Differences from a pivot as those from its group's centre. Each is in one order: what the sample has seldom
     first, by name, then what it has often, by how often; so that first elements are rare ones."""
     sizes = small(stage(found.groupBy("a").agg(F.count("*").alias("size")).where(F.col("size") >= crowd)), MOST_IDS)
-    drawn = found.join(sizes, "a").where(draw(F.col("b"), 8) * F.col("size") < sample)
+    drawn = found.join(sizes, "a").where(draw(F.col("b"), seed) * F.col("size") < sample)
     each = drawn.select("a", "b", F.explode(F.concat(F.transform("added", lambda e: F.struct(e.alias("e"), F.lit(True).alias("more"))), F.transform("removed", lambda e: F.struct(e.alias("e"), F.lit(False).alias("more"))))).alias("x"))
     counts = each.groupBy("a", "x.e", "x.more").agg(F.count("*").alias("k")).where(F.col("k") >= OFTEN).join(drawn.groupBy("a").agg(F.count("*").alias("of")), "a")
     most, kept = F.expr("2 * k > of"), F.struct("k", "e")
@@ -178,11 +184,11 @@ def centred(found: DataFrame, crowd: int, sample: int) -> DataFrame:
 
 
 def against_middles(found: DataFrame, similar: float) -> DataFrame:
-    """Of centred differences, staged: the middle m of each group, linked to it or not, and the elements to ask for partners by and to answer by.
+    """Of centred differences, staged: the middle m of each group, linked to it or not, and the keys: elements to ask for partners by or to answer by.
 
     Let T(x, y) be the most that linked texts of these sizes differ by, and d = |D|; m has the least d less
     its part of T. A pair shares at least (d(x) + d(y) - T(x, y)) / 2 elements, which for a text not linked to m
-    is above 0, as it was with m, so 1 at least; for whatever partner that is at least d(x) - T(x, .);
+    is above 0, as it was with m, so 1 at least, and no less than (d(x) + d(m) - T(x, m)) / 2; for whatever partner that is at least d(x) - T(x, .);
     and as d(s) + d(m) > T(s, m) for a text s not linked to m, what answers it shares at least
     (d(y) + 1 - d(m) - [T(s, y) - T(s, m)]) / 2. Of k elements of which t are shared, the first k - t + 1 in
     a fixed order hold the first shared one.
@@ -198,17 +204,53 @@ def against_middles(found: DataFrame, similar: float) -> DataFrame:
     most = F.floor(F.col("n") * (1 + 1 / similar) * part + 1e-9)
     answering = F.ceil((d + 1 - F.col("dm") - F.ceil(F.greatest(F.col("n") - F.col("nm"), F.lit(0)) * part)) / 2)
 
+    asking = F.ceil((d + F.col("dm") - (F.col("n") + F.col("nm")) * part - 1e-6) / 2)
+
     def first(shared):
         of_more = F.greatest(F.size("more") - F.greatest(shared - F.size("less"), F.lit(1)) + 1, F.lit(0)).cast("int")
         of_less = F.greatest(F.size("less") - F.greatest(shared, F.lit(1)) + 1, F.lit(0)).cast("int")
-        mark = lambda c, n, more: F.transform(F.slice(c, F.lit(1), n), lambda e, i: F.struct(e.alias("e"), F.lit(more).alias("more"), (F.size(c) - i - 1).alias("left")))
-        return F.concat(mark("more", of_more, True), mark("less", of_less, False))
+        return F.struct(of_more.alias("more"), of_less.alias("less"))
+
+    def keys(c, more):
+        asked, answered = F.when(F.col("linked"), 0).otherwise(F.col(f"asked.{c}")), F.col(f"answered.{c}")
+        mark = lambda e, i: F.struct(e.alias("e"), F.lit(more).alias("more"), (F.size(c) - i - 1).alias("left"), (i < asked).alias("asks"), (i < answered).alias("answers"))
+        return F.transform(F.slice(c, F.lit(1), F.greatest(asked, answered)), mark)
 
-    out = stage(rows.select("a", "b", "m", "n", d.alias("d"), F.size("less").alias("r"), linked.alias("linked"), F.when(~linked, first(d - most)).alias("ask"), first(F.greatest(answering, d - most)).alias("answer")))
+    told = rows.select("a", "b", "m", "n", d.alias("d"), F.size("less").alias("r"), linked.alias("linked"), first(F.greatest(asking, d - most)).alias("asked"), first(F.greatest(answering, d - most)).alias("answered"), "more", "less")
+    out = stage(told.select("a", "b", "m", "n", "d", "r", "linked", F.concat(keys("more", True), keys("less", False)).alias("keys")))
     drop(least, middles)
     return out
 
 
+def meetings(tried: DataFrame, labels: DataFrame) -> DataFrame:
+    """Staged (a, h, size, more, b, label, n, d, r, left, asks, answers): texts b of group a that meet at elements. Elements of
+    the same texts are one meeting, named h (a clash of names would only join two). None is of one component alone."""
+    placed = tried.join(small(labels, MOST_IDS).withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
+    open_groups = small(stage(tried.where("NOT linked").select("a").distinct()), MOST_IDS)
+    each = placed.join(open_groups, "a", "left_semi").select("a", "b", "label", "n", "d", "r", F.explode("keys").alias("x")).select("a", "b", "label", "n", "d", "r", "x.*")
+    met = each.groupBy("a", "e", "more").agg(
+        F.count("*").alias("size"), F.bool_or("asks").alias("asked"), F.bool_or("answers").alias("answered"), F.min("label").alias("low"), F.max("label").alias("high"),
+        F.bit_xor(F.xxhash64("b", "asks", "answers")).alias("who"),
+    ).where("asked AND answered AND low < high")
+    met = small(stage(met.select("a", "e", "more", "size", F.xxhash64("who", "size", "more").alias("h"))), MOST_IDS)
+    of = ("size", "more", "label", "n", "d", "r", "left", "asks", "answers")
+    out = stage(each.join(met, ["a", "e", "more"]).groupBy("a", "h", "b").agg(*[F.max(c).alias(c) for c in of]))
+    drop(open_groups, met)
+    return out
+
+
+def paired(met: DataFrame, similar: float) -> DataFrame:
+    """Pairs (a, b) of texts that meet, one of them asking, and can be similar by their sizes and by how much of them is left."""
+    asking = met.where("asks").select("a", "h", "more", "b", "label", "n", "d", "r", "left")
+    answers = met.where("answers").select("a", "h", *[F.col(c).alias(f"{c}2") for c in ("b", "label", "n", "d", "r", "left")])
+    sized = F.least("n", "n2") >= similar * F.greatest("n", "n2")
+    # what the pair must share at least. Its first shared element leaves so many after it on either side; lost
+    # elements are a reason only where nothing gained is shared
+    shared = F.ceil((F.col("d") + F.col("d2") - F.floor((F.col("n") + F.col("n2")) * far_apart(similar) + 1e-9)) / 2)
+    reason = sized & (shared <= 1 + F.least("left", "left2") + F.when(F.col("more"), F.least("r", "r2")).otherwise(0))
+    return asking.join(answers, ["a", "h"]).where((F.col("label") != F.col("label2")) & reason).select(F.least("b", "b2").alias("a"), F.greatest("b", "b2").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), copy_of (the least doc_id of equal multiset); one row per document, and per row of null doc_id"""
     spark = docs.sparkSession
@@ -240,29 +282,33 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     middle = centred(found, CROWD, CROWD_SAMPLE)
     drop(found)
     tried = against_middles(middle, similar)
-    drop(middle)
-    links = stage(tried.where("linked AND b <> m").select(F.col("m").alias("a"), "b").union(merged))
+    linked = lambda tried: tried.where("linked AND b <> m").select(F.col("m").alias("a"), "b")
+    links = [stage(linked(tried).union(merged))]
     drop(merged)
     release_shuffles(spark)
 
-    labels = components(links)
-    placed = tried.join(small(labels, MOST_IDS).withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
-    asking = placed.where("NOT linked").select("a", "b", "n", "d", "r", "label", F.explode("ask").alias("x")).select("a", "b", "n", "d", "r", "label", "x.*")
-    open_groups = small(stage(tried.where("NOT linked").select("a").distinct()), MOST_IDS)
-    answers = placed.join(open_groups, "a", "left_semi").select("a", F.col("b").alias("c"), F.col("n").alias("n2"), F.col("d").alias("d2"), F.col("r").alias("r2"), F.col("label").alias("l"), F.explode("answer").alias("x"))
-    answers = answers.select("a", "c", "n2", "d2", "r2", "l", "x.e", "x.more", F.col("x.left").alias("left2"))
-    sized = F.least("n", "n2") >= similar * F.greatest("n", "n2")
-    # what the pair must share at least. Its first shared element leaves so many after it on either side; lost
-    # elements are a reason only where nothing gained is shared
-    shared = F.ceil((F.col("d") + F.col("d2") - F.floor((F.col("n") + F.col("n2")) * far_apart(similar) + 1e-9)) / 2)
-    reason = sized & (shared <= 1 + F.least("left", "left2") + F.when(F.col("more"), F.least("r", "r2")).otherwise(0))
-    fresh = stage(asking.join(answers, ["a", "e", "more"]).where((F.col("label") != F.col("l")) & reason).select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct())
-    more = stage(links.union(verified(fresh, sets, similar)))
-    drop(labels, fresh, open_groups)
+    labels, fresh = components(links[0]), []
+    while True:
+        met = meetings(tried, labels)
+        fresh.append(stage(paired(met.where(F.col("size") <= FEW), similar)))
+        again = stage(met.where(F.col("size") > FEW).select(F.xxhash64("a", "h").alias("g"), "a", "b"))
+        drop(met, tried)
+        if again.isEmpty():
+            break
+        found = stage(middle.join(small(again, MOST_IDS), ["a", "b"]).select(F.col("g").alias("a"), "b", "n", F.col("more").alias("added"), F.col("less").alias("removed")))
+        drop(middle, again)
+        # a sample of each round's own: one too small for a centre is not drawn again
+        middle = centred(found, CROWD, FEW_SAMPLE, 8 + len(fresh))
+        drop(found)
+        tried = against_middles(middle, similar)
+        links.append(stage(linked(tried)))
+        release_shuffles(spark)
+    drop(middle, again, labels)
+    more = stage(reduce(DataFrame.union, [*links, verified(reduce(DataFrame.union, fresh).distinct(), sets, similar)]))
+    drop(*fresh, *links)
     release_shuffles(spark)
     labels = components(more)
-    drop(more)
-    drop(buckets, sets, tried, links)
+    drop(more, buckets, sets)
 
     classed = copies.drop("other").join(small(labels, MOST_IDS).select(F.col("node").alias("copy_of"), "label"), "copy_of", "left").select("doc_id", F.coalesce("label", "copy_of").alias("class_id"), "copy_of")
     out = stage(classed.union(nameless))

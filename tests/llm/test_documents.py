@@ -242,6 +242,26 @@ def test_copies_of_an_absent_text_are_linked(docs_of, cut_id):
     assert got == _classes(rows) and set(got.values()) == {1000, cut_id}
 
 
+def test_many_texts_that_meet_at_an_element_are_a_group_again(docs_of, monkeypatch):
+    # families share changes, so that many of one meet at an element; most are far from the middle
+    base, rows = _words(140, 5, 10_000), []
+    for i in range(96):
+        rows.append((1000 + i, " ".join(_edited(_edited(base, 2, 300 + i % 6), 1 + i % 5, i))))
+    sizes, paired = [], bagminhash.paired
+
+    def seen(met, similar):
+        sizes.extend(r["n"] for r in met.where("answers").groupBy("a", "h").agg(F.count("*").alias("n")).collect())
+        return paired(met, similar)
+
+    monkeypatch.setattr(bagminhash, "paired", seen)
+    monkeypatch.setattr(bagminhash, "FEW", 3)
+    monkeypatch.setattr(bagminhash, "CROWD", 4)
+    rounds, again = [], bagminhash.meetings
+    monkeypatch.setattr(bagminhash, "meetings", lambda *x: rounds.append(1) or again(*x))
+    got = {r["doc_id"]: r["class_id"] for r in bagminhash.near_duplicates(docs_of(rows)).collect()}
+    assert got == _classes(rows) and len(rounds) > 1 and max(sizes, default=0) <= 3
+
+
 def test_near_duplicates_of_odd_rows(odd):
     rows = bagminhash.near_duplicates(odd).collect()
     classes = {r["doc_id"]: r["class_id"] for r in rows}
